@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard
+from . import common, debruijn, jaccard, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,25 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.grouped(common.table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.toxic_documents(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def op10_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_spans(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_toxicity": op8_toxicity,
+        "op10_debruijn_repeats": op10_debruijn_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_ngram_jaccard": jaccard.ORACLE_SQL,
+        "op10_debruijn_repeats": debruijn.ORACLE_SQL,
+    }

@@ -70,6 +70,43 @@ def batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
+CHUNKS = 64
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    small = x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint16 if x.max() < 65536 else np.int64)
+    return small.dtype.char.encode() + pa.Codec("lz4").compress(small.tobytes(), asbytes=True)
+
+
+def corpus_counts(df: DataFrame, columns: list[str], add: Callable[[pa.RecordBatch, np.ndarray], None], size: int) -> np.ndarray:
+    """Sum of fixed-size vectors over all rows: ``add`` counts a batch into one.  size: a multiple of CHUNKS.
+
+    Only compressed pieces of partial sums are shuffled; the driver gets one vector, however large the input is.
+    """
+    step = size // CHUNKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            add(b, total)
+        if total.any():
+            yield packed_batch([(k, _squeeze(total[k * step : (k + 1) * step])) for k in range(CHUNKS)])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                kind = np.dtype(p[:1].decode())
+                found.setdefault(k, np.zeros(step, np.int64))
+                found[k] += np.frombuffer(pa.Codec("lz4").decompress(p[1:], step * kind.itemsize, asbytes=True), kind)
+        yield packed_batch([(k, x.tobytes()) for k, x in found.items()])
+
+    total = np.zeros(size, np.int64)
+    for row in df.select(*columns).mapInArrow(count, PACKED).repartition(16, "bucket").mapInArrow(merge, PACKED).collect():
+        total[row.bucket * step : (row.bucket + 1) * step] = np.frombuffer(row.payload, np.int64)
+    return total
+
+
 def reduced_scan(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, whatever else the table holds."""
     return docs.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])

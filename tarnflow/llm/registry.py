@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, debruijn, jaccard, toxicity
+from . import common, debruijn, jaccard, templates, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.grouped(common.table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_template_decontamination": op3_template_decontamination,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_toxicity": op8_toxicity,
         "op10_debruijn_repeats": op10_debruijn_repeats,

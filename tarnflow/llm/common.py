@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -149,3 +150,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def null_as_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)

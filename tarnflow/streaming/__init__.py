@@ -1,0 +1 @@
+"""Incremental samples over streams."""

@@ -211,6 +211,12 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """x (not negative) in the narrowest unsigned type that holds it."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each run of equal values."""
     if not len(x):

@@ -152,6 +152,13 @@ def null_as_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again."""
     spark = df.sparkSession

@@ -19,7 +19,8 @@ millions of documents doesn't meet in one task.
 Lines are compared without white space at their ends.  Blank lines aren't part of the
 sequence and stay.  Defined cases: null ids take no part and stay as they are; null and empty
 texts have no lines; identical rows (same id, same text) count once and are treated alike;
-different texts under one id are different texts, in the order of a hash.
+different texts under one id are different texts, in the order of a hash; a column that has the
+name of the count is replaced by it, all others may have any name.
 """
 
 from __future__ import annotations
@@ -132,11 +133,13 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", t
     slim = common.reduced_scan(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     gone = copies(slim.withColumn("uid", F.xxhash64("doc_id", "text")), min_lines).groupBy("uid").agg(F.collect_list("line").alias("gone")).toDF("__uid", "__gone").checkpoint()
     uid = F.xxhash64(docs[f"`{doc_id}`"].cast("bigint"), docs[f"`{text}`"])
-    joined = docs.join(common.sized(gone), (uid == F.col("__uid")) & docs[f"`{doc_id}`"].isNotNull(), "left")
-    kept = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
-    cut = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
-    columns = [cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias(removed))
+    side = common.sized(gone)
+    out = side["__gone"]
+    joined = docs.join(side, (uid == side["__uid"]) & docs[f"`{doc_id}`"].isNotNull(), "left")
+    kept = F.filter(F.split(docs[f"`{text}`"], "\n", -1), lambda x, i: ~F.array_contains(out, i))
+    cut = F.when(out.isNull(), docs[f"`{text}`"]).otherwise(F.array_join(kept, "\n"))
+    columns = [cut.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns if c != removed]
+    return joined.select(*columns, F.coalesce(F.size(out), F.lit(0)).cast("bigint").alias(removed))
 
 
 ORACLE_SQL = r"""

@@ -22,9 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs are cut out; documents of which no line is left go.  Others keep their columns; n_chars follows the text."""
-    cut = linededup.dedup(docs, removed="__removed")
-    left = cut.where("__removed = 0 or trim(BOTH ' \\t\\r\\n' FROM text) <> ''")
-    chars = [F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    removed = common.fresh(docs, "__removed")
+    cut = linededup.dedup(docs, removed=removed)
+    left = cut.where(f"{removed} = 0 or trim(BOTH ' \\t\\r\\n' FROM text) <> ''")
+    chars = [F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return left.select(*chars)
 
 

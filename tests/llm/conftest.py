@@ -3,7 +3,7 @@ import random
 import pytest
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, bucket int, payload string, __id string, label string, __gone string, __removed int, n_removed string, node int"
-WORDS = [f"w{i}" for i in range(400)]
+WORDS = [a + b + c for a in "bdfgklmn" for b in ("a", "e", "i", "o", "u") for c in ("lt", "rn", "sk", "mp", "x", "th", "ng", "st", "v", "z")]
 
 
 def prose(seed: int, n: int = 60, lines: int = 1) -> str:

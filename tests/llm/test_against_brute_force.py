@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm import common, debruijn, html, jaccard, langid, linededup, packing, templates, toxicity
 
-from .conftest import prose
+from .conftest import WORDS, prose
 
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -23,7 +23,7 @@ def near_copies(seed, n):
         if out and r.random() < 0.6:
             w = r.choice(out).split()
             for _ in range(r.randrange(0, max(2, len(w) // 12))):
-                w[r.randrange(len(w))] = f"w{r.randrange(400)}"
+                w[r.randrange(len(w))] = r.choice(WORDS)
             out.append(" ".join(w))
         else:
             out.append(prose(seed * 1000 + i, r.choice([3, 12, 40, 150])))

@@ -157,6 +157,11 @@ add(
     f"with {G_SQL}, c as (select g2.src, count(*) as cnt from g as g2 join g as g3 on g2.dst = g3.src group by g2.src) select src, cnt, cast(case when cnt <= 1 then cnt else 2 ** length(bin(cnt - 1)) end as bigint) as bound from c",
 )
 
+add(
+    "line3_updated_keys", lambda s, d: counting.updated_keys(named.line(S.edges(s, d), 3), "g1"),
+    f"with {G_SQL} select 'g2' as node, count(distinct g2.src) as n_keys from g g2 join g g3 on g2.dst = g3.src union all select 'g3', count(distinct src) from g",
+)
+
 
 def line3_tree_counts(spark: SparkSession, d: str) -> DataFrame:
     spec, out = named.line(S.edges(spark, d), 3), None
@@ -438,6 +443,22 @@ def stream_join_sample(spark: SparkSession, d: str) -> DataFrame:
     return samples.sample_stream(joined, ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity"], K, SEED)
 
 
+def stream_line3_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Three copies of the graph arrive as one shuffled stream of tuples, in several batches; the sample of Line-3 is kept up to date."""
+    from .sources import log, prep
+
+    streams = [("g1", log.GRAPH), ("g2", log.GRAPH), ("g3", log.GRAPH)]
+    state = samples.StreamJoin(spark, streams, lambda r: named.line([r["g1"], r["g2"], r["g3"]], 3), K, SEED)
+    tuples = prep.graph_streams(S.edges(spark, d), 3)
+    lines = tuples.repartitionByRange(4, "shuffle").sortWithinPartitions("shuffle").select(F.concat(F.col("sid").cast("string"), F.lit("|1,"), F.col("src").cast("string"), F.lit(","), F.col("dst").cast("string")).alias("value"))
+    lines.write.text(f"{state.folder}/log")
+    source = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{state.folder}/log").select(*log.fields("value")).where("kind = 'insert'")
+    source.writeStream.foreachBatch(state).option("checkpointLocation", f"{state.folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    # priorities here come from all ids of the spec
+    return state.current.select(*[F.col(c).cast("bigint") for c in line_columns(3)[0]]).toDF(*line_columns(3)[1])
+
+
+add("stream_line3_sample", stream_line3_sample, f"with {G_SQL}, {line_sql(3)} select * from j order by {prio('A', 'B', 'B', 'C', 'C', 'D')}, A, B, C, D limit {K}")
 add("stream_sample", stream_sample, f"select event_id, user_id, event_type from events {best(['event_id'])}")
 add(
     "stream_join_sample", stream_join_sample,

@@ -85,10 +85,19 @@ def key_counts(spec: JoinSpec, root: str, node: str) -> DataFrame:
     s = next((s for s in steps if s.node == node and s.parent), None)
     if s is None or s.band is not None:
         raise ValueError("node must hang below root by an equi edge")
-    counts = child_totals(spec, steps, spec.relations[root].df, s, list(s.mine), "cnt")
+    counts = child_totals(spec, steps, spec.relations[s.parent].df, s, list(s.mine), "cnt")
     return counts.withColumn("bound", upper_bound(F.col("cnt")))
 
 
+def updated_keys(spec: JoinSpec, root: str) -> DataFrame:
+    """(node, n_keys): how many key counts each relation below root keeps up to date."""
+    out = None
+    for s in spec.tree(root)[1:]:
+        one = key_counts(spec, root, s.node).agg(F.count(F.lit(1)).alias("n_keys")).select(F.lit(s.node).alias("node"), "n_keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def upper_bound(cnt: Column) -> Column:
     """The least power of two that isn't below cnt (cnt below 2^62)."""
     c = cnt.cast("bigint")

@@ -8,7 +8,7 @@ schemas; an empty field is null (it joins nothing), 0 is an ordinary value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -61,13 +61,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     base = per_piece.select("piece", (F.sum("n").over(Window.orderBy("piece")) - F.col("n")).alias("base"))  # a row for each piece of the file
     placed = numbered.withColumn("piece", F.shiftright("at", 33)).join(F.broadcast(base), "piece")
     seq = (F.col("base") + (F.col("at") - F.shiftleft("piece", 33)) + 1).alias("seq")
-    deletion = F.regexp_extract("line", r"^d\s+(\d+)\s+(\d+)\s*$", 1)
-    kind = F.when(F.col("line").startswith("-"), "report").when(deletion != "", "delete").otherwise("insert")
-    return placed.select(
-        seq, kind.alias("kind"),
-        F.when(kind == "delete", deletion).when(kind == "insert", F.regexp_extract("line", r"^\s*(\d+)\|", 1)).otherwise(None).try_cast("int").alias("sid"),
-        F.when(kind == "delete", F.regexp_extract("line", r"^d\s+(\d+)\s+(\d+)\s*$", 2)).when(kind == "insert", F.regexp_extract("line", r"^\s*\d+\|[^,]*,(.*)$", 1)).alias("payload"),
-    )
+    return placed.select(seq, *fields("line"))
+
+
+DELETE, INSERT = r"^d\s+(\d+)\s+(\d+)\s*$", r"^\s*(\d+)\|[^,]*,(.*)$"
+
+
+def fields(line: str) -> list[Column]:
+    """kind, sid and payload of a line, for files and streams alike."""
+    c = F.col(line)
+    deletion = F.regexp_extract(c, DELETE, 1)
+    kind = F.when(c.startswith("-"), "report").when(deletion != "", "delete").otherwise("insert")
+    sid = F.when(kind == "delete", deletion).when(kind == "insert", F.regexp_extract(c, INSERT, 1))
+    payload = F.when(kind == "delete", F.regexp_extract(c, DELETE, 2)).when(kind == "insert", F.regexp_extract(c, INSERT, 2))
+    return [kind.alias("kind"), sid.try_cast("int").alias("sid"), payload.alias("payload")]
 
 
 def stream(log: DataFrame, sid: int, schema: str) -> DataFrame:

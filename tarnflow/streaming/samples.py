@@ -9,6 +9,7 @@ result.  A batch's own k least are found first, so that only k rows of it meet t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions.hashing import priority
 from ..operators.sampling import PRIORITY, swor
+from ..plans.spec import JoinSpec
 
 
 class StreamSample:
@@ -40,6 +42,66 @@ class StreamSample:
         return None if self.last is None else self.spark.read.parquet(self.last)
 
 
+class StreamJoin:
+    """A sample of a join while rows of all its relations arrive as one stream; for foreachBatch.
+
+    A batch holds (sid, payload) rows.  Its new results are, for each relation, the batch's rows of it joined with what the
+    relations before it hold after the batch and those after it held before: each new result once.  Only results whose
+    priority is below the sample's last one can enter, so all others are dropped before they are sorted.  Relations and sample
+    lie under the batch's number in the shared folder; a batch that runs twice writes the same again.
+
+    streams: (name, schema) by sid.  make: relations by name -> JoinSpec.
+    """
+
+    def __init__(self, spark: SparkSession, streams: list[tuple[str, str]], make: Callable[[dict[str, DataFrame]], JoinSpec], k: int, seed: int | str = 42, folder: str | None = None):
+        runtime.prepare(spark)
+        self.spark, self.streams, self.make, self.k, self.seed = spark, streams, make, k, seed
+        self.folder = folder or f"{spark.sparkContext.getCheckpointDir()}/join-{uuid.uuid4().hex}"
+        self.epochs: list[int] = []
+        self.last: str | None = None
+
+    def _held(self, name: str, schema: str, epochs: list[int]) -> DataFrame:
+        if not epochs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/{e}" for e in epochs])
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        for sid, (name, schema) in enumerate(self.streams):
+            rows = batch.where(F.col("sid") == sid).select(F.from_csv("payload", schema).alias("row")).select("row.*")
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{epoch}")
+        batch.unpersist()
+        old = [e for e in self.epochs if e != epoch]
+        before = {n: self._held(n, s, old) for n, s in self.streams}
+        after = {n: self._held(n, s, [*old, epoch]) for n, s in self.streams}
+        bound, ids, new = None, None, None
+        if self.last is not None:
+            sample = self.spark.read.parquet(self.last)
+            if sample.count() >= self.k:
+                bound = sample.agg(F.max(PRIORITY)).first()[0]
+            new = sample
+        for i, (name, schema) in enumerate(self.streams):
+            now = {n: self._held(n, s, [epoch]) if n == name else after[n] if j < i else before[n] for j, (n, s) in enumerate(self.streams)}
+            spec = self.make(now)
+            ids = spec.ids()
+            found = spec.results(name).withColumn(PRIORITY, priority(self.seed, *ids))
+            if bound is not None:
+                found = found.where(F.col(PRIORITY) <= bound)
+            new = found if new is None else new.unionByName(found)
+        path = f"{self.folder}/sample/{epoch}"
+        new.orderBy(PRIORITY, *ids).limit(self.k).write.mode("overwrite").parquet(path)
+        self.epochs, self.last = [*old, epoch], path
+
+    @property
+    def current(self) -> DataFrame | None:
+        return None if self.last is None else self.spark.read.parquet(self.last).drop(PRIORITY)
+
+
+def meter(query) -> list[dict]:
+    """What a streaming query has reported: batch, rows, rows per second, milliseconds."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond"), "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
+
+
 def sample_stream(source: DataFrame, ids: list[str], k: int, seed: int | str = 42) -> DataFrame:
     """Runs all that a stream has now through StreamSample; min(k, rows) rows."""
     spark = source.sparkSession

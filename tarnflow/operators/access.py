@@ -26,16 +26,22 @@ from ..plans.spec import WEIGHT, JoinSpec, Step
 from . import counting
 
 
-def _running(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(df with part and before, the sum of weights ahead of each row; parts: part, base)."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _running(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """(df with part and before, the sum of weights ahead of each row; parts: part, base, all; the sum of all weights)."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = runtime.cut(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
-    sums = placed.groupBy("part").agg(F.sum("weight").alias("all"))
-    # one row for each partition
-    parts = runtime.cut(sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).cast(WEIGHT).alias("base"), F.col("all").cast(WEIGHT).alias("all")))
+    # a row for each partition comes to the driver, and goes back as constants
+    sums = sorted((r["part"], int(r["all"])) for r in placed.groupBy("part").agg(F.sum("weight").alias("all")).collect())
+    base, rows = 0, []
+    for part, all_ in sums:
+        rows.append(f"({part}, {base}, {all_})")
+        base += all_
+    values = ", ".join(rows) or "(0, 0, 0)"
+    parts = spark.sql(f"select part, cast(base as {WEIGHT}) as base, cast(all as {WEIGHT}) as all from values {values} as t(part, base, all)").where(F.lit(bool(rows)))
     inner = F.sum("weight").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
     rows = placed.withColumn("before", inner.cast(WEIGHT)).join(F.broadcast(parts.select("part", "base")), "part")
-    return rows.withColumn("before", (F.col("before") + F.col("base")).cast(WEIGHT)).drop("base"), parts
+    return rows.withColumn("before", (F.col("before") + F.col("base")).cast(WEIGHT)).drop("base"), parts, base
 
 
 def _lookup(rows: DataFrame, parts: DataFrame, places: DataFrame, prefix: str) -> DataFrame:
@@ -63,9 +69,18 @@ class Access:
         self.rows: dict[str, DataFrame] = {}
         self.parts: dict[str, DataFrame] = {}
         self.keys: dict[str, DataFrame] = {}
+        self.size = 0
+        leaves: dict[tuple, str] = {}
         for s in reversed(self.steps):
+            # the same table in several leaf places is prepared once
+            like = (id(spec.relations[s.node].df), s.mine, spec.relations[s.node].rid, tuple(spec.used(s.node)))
+            if not spec.children(self.steps, s.node) and like in leaves:
+                for kept in (self.rows, self.parts, self.keys):
+                    kept[s.node] = kept[leaves[like]]
+                continue
             self._prepare(s)
-        self.size = int(self.parts[self.root].agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0])
+            if not spec.children(self.steps, s.node):
+                leaves[like] = s.node
 
     def _prepare(self, s: Step) -> None:
         df = self.spec.relations[s.node].df.select(*[f"`{c}`" for c in self.spec.used(s.node)])
@@ -79,7 +94,7 @@ class Access:
         for m in s.mine:
             df = df.where(F.col(f"`{m}`").isNotNull())
         order = list(dict.fromkeys([*s.mine, *self.spec.relations[s.node].rid]))
-        self.rows[s.node], self.parts[s.node] = _running(df, order)
+        self.rows[s.node], self.parts[s.node], self.size = _running(df, order)
         if s.parent:
             self.keys[s.node] = self.rows[s.node].groupBy(*s.mine).agg(F.min("before").alias("base"), F.sum("weight").cast(WEIGHT).alias("all"))
 

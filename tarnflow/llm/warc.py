@@ -19,6 +19,7 @@ an unsegmented record is a single segment; repeated headers count as first given
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -120,12 +121,12 @@ def payload(block: bytes) -> tuple[str, int | None, bytes | None]:
 
 
 def parse(records: DataFrame, record: str = "record") -> DataFrame:
-    """(origin, number, total, url, kind, block) of each record; malformed ones have a null origin."""
+    """(origin, number, total, url, kind, block) of each record; malformed ones have a null origin and a checksum as their number."""
     schema = "origin string, number int, total bigint, url string, kind string, block binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [read_record(x) or (None, None, None, None, "malformed", None) for x in b.column(0).to_pylist()]
+            rows = [read_record(x) or (None, zlib.crc32(x or b"") >> 1, None, None, "malformed", None) for x in b.column(0).to_pylist()]
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield common.batch(**{n: pa.array(c, t) for n, c, t in zip(("origin", "number", "total", "url", "kind", "block"), cols, kinds)})
@@ -141,8 +142,8 @@ def reassemble(records: DataFrame, record: str = "record") -> DataFrame:
     common.prepare(records.sparkSession)
     parsed = parse(records, record)
     # malformed rows are spread by content instead of meeting under one null
-    key = F.coalesce(F.xxhash64("origin"), F.lit(0))
-    ordered = parsed.repartition(key, F.when(F.col("origin").isNull(), F.rand(1))).sortWithinPartitions("origin", "number")
+    key = F.coalesce(F.col("origin"), F.col("number").cast("string"))
+    ordered = parsed.repartition(key).sortWithinPartitions("origin", "number")
 
     def close(origin: str | None, parts: list[tuple[int, bytes]], totals: set[int], url: str | None, clash: bool) -> tuple:
         block = b"".join(p for _, p in parts)

@@ -79,10 +79,16 @@ def _squeeze(x: np.ndarray) -> bytes:
     return small.dtype.char.encode() + pa.Codec("lz4").compress(small.tobytes(), asbytes=True)
 
 
-def corpus_counts(df: DataFrame, columns: list[str], add: Callable[[pa.RecordBatch, np.ndarray], None], size: int) -> np.ndarray:
+def _spread(p: bytes, n: int) -> np.ndarray:
+    kind = np.dtype(p[:1].decode())
+    return np.frombuffer(pa.Codec("lz4").decompress(p[1:], n * kind.itemsize, asbytes=True), kind)
+
+
+def corpus_counts(df: DataFrame, columns: list[str], add: Callable[[pa.RecordBatch, np.ndarray], None], size: int, only_if: bool = False) -> np.ndarray:
     """Sum of fixed-size vectors over all rows: ``add`` counts a batch into one.  size: a multiple of CHUNKS.
 
     Only compressed pieces of partial sums are shuffled; the driver gets one vector, however large the input is.
+    only_if: the vector says, in a byte each, whether a count isn't 0.
     """
     step = size // CHUNKS
 
@@ -97,14 +103,13 @@ def corpus_counts(df: DataFrame, columns: list[str], add: Callable[[pa.RecordBat
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kind = np.dtype(p[:1].decode())
                 found.setdefault(k, np.zeros(step, np.int64))
-                found[k] += np.frombuffer(pa.Codec("lz4").decompress(p[1:], step * kind.itemsize, asbytes=True), kind)
-        yield packed_batch([(k, x.tobytes()) for k, x in found.items()])
+                found[k] += _spread(p, step)
+        yield packed_batch([(k, _squeeze(np.minimum(x, 1) if only_if else x)) for k, x in found.items()])
 
-    total = np.zeros(size, np.int64)
+    total = np.zeros(size, np.uint8 if only_if else np.int64)
     for row in df.select(*columns).mapInArrow(count, PACKED).repartition(16, "bucket").mapInArrow(merge, PACKED).collect():
-        total[row.bucket * step : (row.bucket + 1) * step] = np.frombuffer(row.payload, np.int64)
+        total[row.bucket * step : (row.bucket + 1) * step] = _spread(row.payload, step)
     return total
 
 

@@ -159,7 +159,7 @@ def bloom_of(bench: DataFrame, w: int, literals: int) -> bytes:
             total[(h & U64((1 << BLOOM_BITS) - 1)).astype(np.int64)] = 1
             total[(h >> U64(64 - BLOOM_BITS)).astype(np.int64)] = 1
 
-    return np.packbits(common.corpus_counts(bench, ["text"], add, 1 << BLOOM_BITS) > 0).tobytes()
+    return np.packbits(common.corpus_counts(bench, ["text"], add, 1 << BLOOM_BITS, only_if=True)).tobytes()
 
 
 def leaks(docs: DataFrame, bench: DataFrame, w: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -49,6 +49,28 @@ def buckets(df: DataFrame, per_partition: float = 2) -> int:
     return min(65536, max(4, int(per_partition * partitions(df))))
 
 
+def release() -> None:
+    """Memory that numpy and Arrow are done with goes back to the system; Python workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, with memory released at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def exchange(packed: DataFrame, n: int, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Bring the packed rows of each bucket together and hand them to ``reduce``."""
 
@@ -60,7 +82,7 @@ def exchange(packed: DataFrame, n: int, reduce: Callable[[list[bytes]], Iterator
         while found:
             yield from reduce(found.popitem()[1])
 
-    return packed.repartition(n, "bucket").mapInArrow(run, schema)
+    return packed.repartition(n, "bucket").mapInArrow(lean(run), schema)
 
 
 def packed_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -108,7 +130,7 @@ def corpus_counts(df: DataFrame, columns: list[str], add: Callable[[pa.RecordBat
         yield packed_batch([(k, _squeeze(np.minimum(x, 1) if only_if else x)) for k, x in found.items()])
 
     total = np.zeros(size, np.uint8 if only_if else np.int64)
-    for row in df.select(*columns).mapInArrow(count, PACKED).repartition(16, "bucket").mapInArrow(merge, PACKED).collect():
+    for row in df.select(*columns).mapInArrow(lean(count), PACKED).repartition(16, "bucket").mapInArrow(lean(merge), PACKED).collect():
         total[row.bucket * step : (row.bucket + 1) * step] = _spread(row.payload, step)
     return total
 

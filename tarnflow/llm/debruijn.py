@@ -104,7 +104,7 @@ def minimiser_runs(docs: DataFrame, k: int, s: int, n_buckets: int) -> DataFrame
             both = (start.astype(np.int64) << 31) | n.astype(np.int64)
             yield common.batch(uid=uid[at], runs=pa.ListArray.from_arrays(pa.array(np.append(at, len(uid)).astype(np.int32)), pa.array(both)))
 
-    packed = docs.select("uid", "text").mapInArrow(find, common.PACKED)
+    packed = docs.select("uid", "text").mapInArrow(common.lean(find), common.PACKED)
     return common.exchange(packed, n_buckets, repeated, "uid bigint, runs array<bigint>")
 
 
@@ -213,7 +213,7 @@ def events(texts: DataFrame, k: int, n_buckets: int) -> DataFrame:
             last = kernel.mix(node[e] * U64(kernel.GRAM) + before[e], 5).view(np.int64)
             yield common.batch(uid=owner[e], doc_id=ids[ref[e]], pos=pos[e].astype(np.int64), first_edge=pa.array(first, mask=~rep_out[e]), last_edge=pa.array(last, mask=~rep_in[e]))
 
-    packed = texts.select("uid", "doc_id", "text", "runs").mapInArrow(nodes, common.PACKED)
+    packed = texts.select("uid", "doc_id", "text", "runs").mapInArrow(common.lean(nodes), common.PACKED)
     return common.exchange(packed, n_buckets, branching, "uid bigint, doc_id bigint, pos bigint, first_edge bigint, last_edge bigint")
 
 

@@ -187,4 +187,4 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             yield common.batch(page_id=b.column(0), url=b.column(1), title=pa.array(title, pa.string()), text=pa.array(text, pa.string()), score=pa.array(score, pa.float64()), n_paragraphs=pa.array(n, pa.int32()))
 
     slim = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
-    return slim.mapInArrow(run, "page_id bigint, url string, title string, text string, score double, n_paragraphs int")
+    return slim.mapInArrow(common.lean(run), "page_id bigint, url string, title string, text string, score double, n_paragraphs int")

@@ -185,7 +185,7 @@ def media_columns(media: DataFrame, media_id: str = "media_id", content: str = "
                 duration_ms=get("duration_ms", pa.int64()), n_samples=get("n_samples", pa.int64()), keyframes=get("keyframes", lists), key_offsets=get("offsets", lists), key_sizes=get("sizes", lists), status=get("status", pa.string()),
             )
 
-    return media.select(F.col(f"`{media_id}`").cast("bigint").alias("media_id"), F.col(f"`{content}`").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
+    return media.select(F.col(f"`{media_id}`").cast("bigint").alias("media_id"), F.col(f"`{content}`").cast("binary").alias("content")).mapInArrow(common.lean(run), SCHEMA)
 
 
 def box(kind: bytes, *parts: bytes, large: bool = False) -> bytes:
@@ -245,7 +245,7 @@ def from_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html") -
             if ids:
                 yield common.batch(media_id=pa.array(ids, pa.int64()), content=pa.array(out, pa.binary()))
 
-    return common.reduced_scan(pages, page_id=page_id, html=html).mapInArrow(run, "media_id bigint, content binary")
+    return common.reduced_scan(pages, page_id=page_id, html=html).mapInArrow(common.lean(run), "media_id bigint, content binary")
 
 
 ORACLE_SQL = r"""

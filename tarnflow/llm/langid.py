@@ -148,4 +148,4 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 lang, cosine = model.classify(col)
                 yield common.batch(doc_id=b.column(0).slice(first, rows), language=pa.array(names[lang], pa.string()), cosine=cosine)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id bigint, language string, cosine double")
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(common.lean(run), "doc_id bigint, language string, cosine double")

@@ -77,7 +77,7 @@ def lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             for first, rows, col in kernel.text_slices(b, "text"):
                 yield common.batch(doc_id=b.column(0).slice(first, rows), tokens=kernel.Words(col).counts.astype(np.int64) + 1)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id bigint, tokens bigint")
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(common.lean(run), "doc_id bigint, tokens bigint")
 
 
 SCHEMA = "doc_id bigint, shard int, window_id bigint, window_offset int, doc_offset bigint, n_tokens int"
@@ -107,4 +107,4 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
             names = ("doc_id", "shard", "window_id", "window_offset", "doc_offset", "n_tokens")
             yield common.batch(**{n: pa.array(c, t) for n, c, t in zip(names, out, kinds)})
 
-    return dealt.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "doc_id", "tokens").mapInArrow(run, SCHEMA)
+    return dealt.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "doc_id", "tokens").mapInArrow(common.lean(run), SCHEMA)

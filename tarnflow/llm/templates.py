@@ -149,7 +149,7 @@ def windows(texts: DataFrame, w: int, literals: int, bloom=None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * w, pa.int32()), pa.array(slots.ravel()))
                 yield common.batch(id=b.column(0).slice(first, rows).take(pa.array(doc)), pos=(p - t.first[doc]).astype(np.int32), hash=h.view(np.int64), slots=lists)
 
-    return texts.mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(common.lean(run), SCHEMA)
 
 
 def bloom_of(bench: DataFrame, w: int, literals: int) -> bytes:

@@ -131,7 +131,7 @@ def parse(records: DataFrame, record: str = "record") -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield common.batch(**{n: pa.array(c, t) for n, c, t in zip(("origin", "number", "total", "url", "kind", "block"), cols, kinds)})
 
-    return records.select(F.col(f"`{record}`").cast("binary").alias("record")).mapInArrow(run, schema)
+    return records.select(F.col(f"`{record}`").cast("binary").alias("record")).mapInArrow(common.lean(run), schema)
 
 
 SCHEMA = "record_id string, url string, status string, n_segments int, total_length bigint, http_status int, payload binary"
@@ -193,7 +193,7 @@ def reassemble(records: DataFrame, record: str = "record") -> DataFrame:
         names = ("record_id", "url", "status", "n_segments", "total_length", "http_status", "payload")
         return common.batch(**{n: pa.array(c, t) for n, c, t in zip(names, zip(*rows), kinds)})
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return ordered.mapInArrow(common.lean(run), SCHEMA)
 
 
 def write_record(record_id: str, url: str | None, body: bytes, chunk: int = CHUNK, segment: int = SEGMENT) -> list[bytes]:
@@ -234,7 +234,7 @@ def from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
                 yield common.batch(record=pa.array(out, pa.binary()))
 
     slim = common.reduced_scan(pages, page_id=page_id, url=url, html=html).where("page_id is not null")
-    return slim.mapInArrow(run, "record binary")
+    return slim.mapInArrow(common.lean(run), "record binary")
 
 
 ORACLE_SQL = r"""

@@ -73,26 +73,34 @@ def lines(docs: DataFrame) -> DataFrame:
                     line=(head[start] - head[off[doc]]).astype(np.int32), id=h.view(np.int64),
                 )
 
-    return docs.select("doc_id", "uid", "text").mapInArrow(run, "doc_id bigint, uid bigint, pos int, line int, id bigint").dropDuplicates(["uid", "pos"])
+    return docs.select("doc_id", "uid", "text").mapInArrow(common.lean(run), "doc_id bigint, uid bigint, pos int, line int, id bigint").dropDuplicates(["uid", "pos"])
+
+
+def with_order(lines_: DataFrame) -> DataFrame:
+    """key: one number for the order of suffixes, by doc_id, then text (34 bits of its hash), then position."""
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    text = F.col("uid").bitwiseAND(F.lit((1 << 34) - 1)).cast("decimal(38,0)")
+    key = ((wide("doc_id") * F.lit(1 << 34) + text).cast("decimal(38,0)") * F.lit(1 << 28) + wide("pos")).cast("decimal(38,0)")
+    return lines_.withColumn("key", key)
 
 
 def first_ranks(ids: DataFrame) -> DataFrame:
-    """(id, rank): how many suffixes begin with a smaller line id, for ids that occur twice at least."""
-    k = ids.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").withColumn("part", F.shiftright("id", 52)).checkpoint()
+    """(id, rank, first): how many suffixes begin with a smaller line id, and the first suffix's key, for ids that occur twice at least."""
+    k = ids.groupBy("id").agg(F.count("*").alias("k"), F.min("key").alias("first")).where("k > 1").withColumn("part", F.shiftright("id", 52)).checkpoint()
     parts = k.groupBy("part").agg(F.sum("k").alias("all"))
     before = parts.withColumn("base", F.sum("all").over(Window.orderBy("part")) - F.col("all")).select("part", "base")  # 4096 rows at most
     inner = F.sum("k").over(Window.partitionBy("part").orderBy("id")) - F.col("k")
-    return k.withColumn("inner", inner).join(F.broadcast(before), "part").select("id", (F.col("base") + F.col("inner")).alias("rank"))
+    return k.withColumn("inner", inner).join(F.broadcast(before), "part").select("id", (F.col("base") + F.col("inner")).alias("rank"), "first")
 
 
 def double(now: DataFrame, base: DataFrame, step: int) -> DataFrame:
-    """Ranks for the lines of now followed by those that base ranks, step lines on; only those that still tie."""
+    """Ranks for the lines of now followed by those that base ranks, step lines on; only those that still tie.  later: not the first of its rank."""
     ahead = base.select("uid", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-    both = now.join(ahead, ["uid", "pos"])  # no suffix ahead: it ties with nothing
-    pairs = both.groupBy("rank", "next").agg(F.count("*").alias("k"))
+    both = now.drop("later").join(ahead, ["uid", "pos"])  # no suffix ahead: it ties with nothing
+    pairs = both.groupBy("rank", "next").agg(F.count("*").alias("k"), F.min("key").alias("first"))
     place = F.sum("k").over(Window.partitionBy("rank").orderBy("next")) - F.col("k")
-    ranked = pairs.withColumn("new", F.col("rank") + place).where("k > 1").select("rank", "next", "new")
-    return both.join(ranked, ["rank", "next"]).select("uid", "pos", "doc_id", "line", F.col("new").alias("rank"))
+    ranked = pairs.withColumn("new", F.col("rank") + place).where("k > 1").select("rank", "next", "new", "first")
+    return both.join(ranked, ["rank", "next"]).select("uid", "pos", "key", F.col("new").alias("rank"), (F.col("key") != F.col("first")).alias("later"))
 
 
 def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -103,18 +111,15 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     if min_lines < 1:
         raise ValueError("min_lines >= 1")
     all_lines = lines(docs).checkpoint()
-    level = all_lines.join(first_ranks(all_lines), "id").select("uid", "pos", "doc_id", "line", "rank").checkpoint()
+    keyed = with_order(all_lines)
+    level = keyed.join(first_ranks(keyed), "id").select("uid", "pos", "key", "rank", (F.col("key") != F.col("first")).alias("later")).checkpoint()
     h, found = 1, []
-    n = level.count()
-    while n:
+    while not level.isEmpty():
         if h >= min_lines:
-            first = level.groupBy("rank").agg(F.min(F.struct("doc_id", "uid", "pos")).alias("first"))
-            later = level.join(first, "rank").where(F.struct("doc_id", "uid", "pos") != F.col("first"))
-            found.append(later.select("uid", "pos", F.lit(h).alias("h")).checkpoint())
+            found.append(level.where("later").select("uid", "pos", F.lit(h).alias("h")))
         step = h if h >= min_lines else min(h, min_lines - h)
         level = double(level, level, step).checkpoint()
         h += step
-        n = level.count()
     if not found:
         return all_lines.select("uid", "line", F.lit(0).alias("n_lines")).where("false")
     marks = found[0]

@@ -3,22 +3,23 @@
 Numbers, names and units become typed placeholders, so that a question that was given other
 numbers or names keeps its template.  Windows of ``WINDOW`` template tokens of the benchmark
 and of all documents meet in a hash join.  A document is contaminated by an item if windows
-cover at least ``COVERAGE`` of the item's windows and the slots are consistent: along one
-alignment each value of the item maps to one value in the document and back.
+cover at least ``COVERAGE`` of the item's windows, or ``PASSAGE`` of its tokens along one
+alignment, and the slots are consistent: along one alignment each value of the item maps to
+one value in the document and back.
 
 A number is a run of digits (with inner points and commas).  A unit is a unit word after a
 number.  A name is a capitalised word, not all in capitals, that isn't the first of a
 sentence; consecutive names are one.  Everything else counts in lower case (ASCII and
 Latin-1 letters are folded).  Windows with fewer than ``LITERALS`` words besides
-placeholders are too general to match.
+placeholders are too general to match.  An item without any window is matched as a whole: by
+its template if that has ``LITERALS`` words, else with its own numbers, names and units too.
 
 Documents are screened with a Bloom filter of fixed size over the benchmark's windows, which
 lets all true matches pass; Spark then joins what is left with the windows and broadcasts
 them only if its own size estimate allows.
 
-Defined cases: null ids take no part; null and empty texts have no windows; an item of fewer
-than ``WINDOW`` template tokens or without a window of enough words can't be told from a
-common phrase and matches nothing; repeated items and rows give one result per pair of ids.
+Defined cases: null ids take no part; null and empty texts have no windows; an item of one
+template token matches nothing; repeated items and rows give one result per pair of ids.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common, kernel
 from .kernel import U64
 
-WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+WINDOW, LITERALS, COVERAGE, PASSAGE = 8, 4, 0.5, 13
 BLOOM_BITS = 22
 NUMBER, NAME, UNIT = U64(0x4E554D), U64(0x4E414D45), U64(0x554E4954)
 UNITS = """percent pct kg g mg lb lbs oz ton tons tonne tonnes km m cm mm mi mile miles meter meters metre metres ft foot feet inch inches yard yards
@@ -124,30 +125,59 @@ class Template:
         p = np.flatnonzero(kernel.inside(self.first, w, len(self.token)) & (words[w:] - words[:-w] >= literals))
         return p, h[p]
 
+    def short(self, w: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of two tokens at least that have no window, and their shapes: twice the length, and 1 if values must be the same."""
+        size = np.diff(self.first)
+        words = np.concatenate([[0], np.cumsum(self.value == 0)])
+        few = words[self.first[1:]] - words[self.first[:-1]] < literals
+        none = np.ones(len(size), bool)
+        none[np.searchsorted(self.first, self.windows(w, literals)[0], side="right") - 1] = False
+        at = np.flatnonzero(none & (size >= 2))
+        return at, (2 * size + few)[at]
+
+    def runs(self, shape: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of all runs of tokens as long as a short text of that shape."""
+        tokens = np.where(self.value != 0, self.value, self.token) if shape & 1 else self.token
+        h = kernel.grams(tokens, shape >> 1)
+        p = np.flatnonzero(kernel.inside(self.first, shape >> 1, len(tokens)))
+        return p, kernel.mix(h[p], shape)
+
+    def parts(self, w: int, literals: int, shapes: list[int] | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(shape, length, positions, hashes): the windows (shape 0), then runs of each of the shapes; without shapes, the short texts themselves."""
+        yield 0, w, *self.windows(w, literals)
+        at, own = self.short(w, literals) if shapes is None else (None, None)
+        for shape in np.unique(own).tolist() if shapes is None else shapes:
+            p, h = self.runs(shape)
+            if shapes is None:
+                whole = np.isin(p, self.first[at[own == shape]])
+                p, h = p[whole], h[whole]
+            yield shape, shape >> 1, p, h
+
 
-SCHEMA = "id bigint, pos int, hash bigint, slots array<bigint>"
+SCHEMA = "id bigint, pos int, hash bigint, slots array<bigint>, shape int"
 
 
-def windows(texts: DataFrame, w: int, literals: int, bloom=None) -> DataFrame:
-    """(id, pos, hash, slots) of each window; with bloom, only those that pass it."""
+def windows(texts: DataFrame, w: int, literals: int, bloom=None, shapes: list[int] | None = None) -> DataFrame:
+    """(id, pos, hash, slots, shape) of each window and short text; with bloom, only those that pass it; with shapes, all runs of these instead of short texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bloom is None else np.unpackbits(np.frombuffer(bloom.value, np.uint8)).astype(bool)
         for b in batches:
             for first, rows, col in kernel.text_slices(b, "text"):
                 t = Template(col)
-                p, h = t.windows(w, literals)
-                if bits is not None and len(p):
-                    ok = bits[(h & U64((1 << BLOOM_BITS) - 1)).astype(np.int64)]
-                    p, h = p[ok], h[ok]
-                    ok = bits[(h >> U64(64 - BLOOM_BITS)).astype(np.int64)]
-                    p, h = p[ok], h[ok]
-                if not len(p):
-                    continue
-                doc = np.searchsorted(t.first, p, side="right") - 1
-                slots = t.value[p[:, None] + np.arange(w)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * w, pa.int32()), pa.array(slots.ravel()))
-                yield common.batch(id=b.column(0).slice(first, rows).take(pa.array(doc)), pos=(p - t.first[doc]).astype(np.int32), hash=h.view(np.int64), slots=lists)
+                for shape, size, p, h in t.parts(w, literals, shapes):
+                    if bits is not None and len(p):
+                        ok = bits[(h & U64((1 << BLOOM_BITS) - 1)).astype(np.int64)]
+                        p, h = p[ok], h[ok]
+                        ok = bits[(h >> U64(64 - BLOOM_BITS)).astype(np.int64)]
+                        p, h = p[ok], h[ok]
+                    if not len(p):
+                        continue
+                    doc = np.searchsorted(t.first, p, side="right") - 1
+                    slots = t.value[p[:, None] + np.arange(size)].view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * size, pa.int32()), pa.array(slots.ravel()))
+                    ids = b.column(0).slice(first, rows).take(pa.array(doc))
+                    yield common.batch(id=ids, pos=(p - t.first[doc]).astype(np.int32), hash=h.view(np.int64), slots=lists, shape=np.full(len(p), shape, np.int32))
 
     return texts.mapInArrow(common.lean(run), SCHEMA)
 
@@ -155,30 +185,34 @@ def windows(texts: DataFrame, w: int, literals: int, bloom=None) -> DataFrame:
 def bloom_of(bench: DataFrame, w: int, literals: int) -> bytes:
     def add(b: pa.RecordBatch, total: np.ndarray) -> None:
         for _, _, col in kernel.text_slices(b, "text"):
-            _, h = Template(col).windows(w, literals)
-            total[(h & U64((1 << BLOOM_BITS) - 1)).astype(np.int64)] = 1
-            total[(h >> U64(64 - BLOOM_BITS)).astype(np.int64)] = 1
+            for _, _, _, h in Template(col).parts(w, literals, None):
+                total[(h & U64((1 << BLOOM_BITS) - 1)).astype(np.int64)] = 1
+                total[(h >> U64(64 - BLOOM_BITS)).astype(np.int64)] = 1
 
     return np.packbits(common.corpus_counts(bench, ["text"], add, 1 << BLOOM_BITS, only_if=True)).tobytes()
 
 
-def leaks(docs: DataFrame, bench: DataFrame, w: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, w: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, passage: int = PASSAGE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots, exact): contaminated documents.  exact: all slots hold the item's own values."""
     spark = common.prepare(docs.sparkSession)
     docs = common.reduced_scan(docs, id=doc_id, text=text).where("id is not null").withColumn("id", F.col("id").cast("bigint"))
     bench = common.reduced_scan(bench, id=item_id, text=item_text).where("id is not null").withColumn("id", F.col("id").cast("bigint"))
     bloom = spark.sparkContext.broadcast(bloom_of(bench, w, literals))
-    ours = windows(bench, w, literals).toDF("item_id", "ipos", "hash", "item_slots").distinct()
+    ours = windows(bench, w, literals).toDF("item_id", "ipos", "hash", "item_slots", "shape").distinct().checkpoint()
+    shapes = sorted(r["shape"] for r in ours.where("shape > 0").select("shape").distinct().collect())  # lengths of short items
+    ours = ours.drop("shape")
     sizes = ours.groupBy("item_id").agg(F.count_distinct("hash").alias("size"))
-    met = windows(docs, w, literals, bloom).toDF("doc_id", "pos", "hash", "slots").join(ours, "hash").withColumn("shift", F.col("pos") - F.col("ipos")).checkpoint()
+    met = windows(docs, w, literals, bloom, shapes).drop("shape").toDF("doc_id", "pos", "hash", "slots").join(ours, "hash").withColumn("shift", F.col("pos") - F.col("ipos")).checkpoint()
     line = ["doc_id", "item_id", "shift"]
     slots = met.select(*line, F.explode(F.arrays_zip(F.col("item_slots").alias("v"), F.col("slots").alias("d"))).alias("z")).select(*line, F.col("z.v").alias("v"), F.col("z.d").alias("d")).where("v <> 0 or d <> 0").distinct()
     forward = slots.groupBy(*line, "v").agg(F.count("*").alias("k")).groupBy(*line).agg(F.max("k").alias("forth"))
     back = slots.groupBy(*line, "d").agg(F.count("*").alias("k")).groupBy(*line).agg(F.max("k").alias("back"))
     same = slots.groupBy(*line).agg(F.count_distinct("v").alias("n_slots"), F.min(F.col("v") == F.col("d")).alias("same"))
-    judged = met.select(*line, "hash").join(forward.join(back, line).join(same, line), line, "left").where("coalesce(forth, 1) = 1 and coalesce(back, 1) = 1")
-    pair = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
-    return pair.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("size")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "exact")
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("ipos", F.col("ipos") + F.size("slots") - 1)))))
+    long_ = met.groupBy(*line).agg(covered.alias("n_tokens"))
+    judged = met.select(*line, "hash").join(long_, line).join(forward.join(back, line).join(same, line), line, "left").where("coalesce(forth, 1) = 1 and coalesce(back, 1) = 1")
+    pair = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("exact"), F.max("n_tokens").alias("n_tokens"))
+    return pair.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("size")).where((F.col("coverage") >= coverage) | (F.col("n_tokens") >= passage)).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "exact")
 
 
 def clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

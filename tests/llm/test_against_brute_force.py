@@ -173,6 +173,21 @@ def test_templates_catch_other_numbers_and_names(spark, make):
     assert {r["doc_id"] for r in templates.clean(make(docs), bench).collect()} >= {3, 4, 5, 8}
 
 
+def test_templates_catch_passages_and_short_items(spark, make):
+    long_ = " ".join(f"{a} {b}" for a, b in zip(prose(41, 30).split(), prose(42, 30).split()))
+    items = [(1, long_), (2, "What is the capital of France?"), (3, "What is 12 + 30?"), (4, "3 7 11 4 15 9 2 8 6 21"), (5, "word"), (6, prose(43, 20)), (7, None), (8, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    w, short = long_.split(), prose(43, 20).split()
+    short[6] = "changed"
+    docs = [
+        (1, f"{prose(44)} {' '.join(w[20:40])} {prose(45)}"), (2, f"{prose(44)} {' '.join(w[20:32])} {prose(45)}"), (3, f"{prose(46)}. What is the capital of France? {prose(47)}"), (4, f"{prose(46)}. What is the capital of Peru? {prose(47)}"),
+        (5, "We ask: what is 12 + 30? It is 42."), (6, "We ask: what is 12 + 31?"), (7, "So 3 7 11 4 15 9 2 8 6 21 it was."), (8, "So 3 7 11 4 15 9 2 8 6 22 it was, a word."), (9, "What is the capital"), (10, f"{prose(48)} {' '.join(short)}"),
+        (11, "What is"), (12, "12 + 30?"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in templates.leaks(make(docs), bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 2), (5, 3), (7, 4), (10, 6)}
+
+
 def test_html_keeps_the_article_and_its_siblings():
     para = "This is a long paragraph of the article, with commas, and enough text to count as content, surely. " * 2
     page = f"<html><head><title>A &amp; B</title><script>var x='<p>no</p>'</script></head><body><div id='nav'><ul><li><a href='/'>Home, sweet, home, and more links to follow</a></li></ul></div><div class='main'><h1>Head</h1><p>{para}</p><p>{para}<a href=x>link</a></p><!-- <p>{para}</p> --></div><div class='sidebar'><p>{para}</p></div><footer><p>{para}</p></footer></body></html>"

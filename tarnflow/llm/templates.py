@@ -4,8 +4,10 @@ Numbers, names and units become typed placeholders, so that a question that was
 numbers or names keeps its template.  Windows of ``WINDOW`` template tokens of the benchmark
 and of all documents meet in a hash join.  A document is contaminated by an item if windows
 cover at least ``COVERAGE`` of the item's windows, or ``PASSAGE`` of its tokens along one
-alignment, and the slots are consistent: along one alignment each value of the item maps to
-one value in the document and back.
+alignment.  Slots must be consistent: along one alignment each value of the item maps to one
+value in the document and back.  Pairs of values that break this are in conflict, but for a
+value that stays itself; windows that hold such a pair don't count, and a passage of an
+alignment that has one must be two windows long.
 
 A number is a run of digits (with inner points and commas).  A unit is a unit word after a
 number.  A name is a capitalised word, not all in capitals, that isn't the first of a
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, kernel
@@ -204,15 +206,17 @@ def leaks(docs: DataFrame, bench: DataFrame, w: int = WINDOW, literals: int = LI
     sizes = ours.groupBy("item_id").agg(F.count_distinct("hash").alias("size"))
     met = windows(docs, w, literals, bloom, shapes).drop("shape").toDF("doc_id", "pos", "hash", "slots").join(ours, "hash").withColumn("shift", F.col("pos") - F.col("ipos")).checkpoint()
     line = ["doc_id", "item_id", "shift"]
-    slots = met.select(*line, F.explode(F.arrays_zip(F.col("item_slots").alias("v"), F.col("slots").alias("d"))).alias("z")).select(*line, F.col("z.v").alias("v"), F.col("z.d").alias("d")).where("v <> 0 or d <> 0").distinct()
-    forward = slots.groupBy(*line, "v").agg(F.count("*").alias("k")).groupBy(*line).agg(F.max("k").alias("forth"))
-    back = slots.groupBy(*line, "d").agg(F.count("*").alias("k")).groupBy(*line).agg(F.max("k").alias("back"))
-    same = slots.groupBy(*line).agg(F.count_distinct("v").alias("n_slots"), F.min(F.col("v") == F.col("d")).alias("same"))
+    zipped = F.arrays_zip(F.col("item_slots").alias("v"), F.col("slots").alias("d"))
+    slots = met.select(*line, F.explode(zipped).alias("z")).select(*line, F.col("z.v").alias("v"), F.col("z.d").alias("d")).where("v <> 0 or d <> 0").distinct()
+    forth, back = F.count("*").over(Window.partitionBy(*line, "v")), F.count("*").over(Window.partitionBy(*line, "d"))
+    paired = slots.withColumn("forth", forth).withColumn("back", back).withColumn("bad", F.expr("v <> d and (forth > 1 or back > 1)"))
+    same = paired.groupBy(*line).agg(F.count_distinct(F.when(~F.col("bad"), F.col("v"))).alias("n_slots"), F.min(F.col("v") == F.col("d")).alias("same"), F.collect_list(F.when(F.col("bad"), F.struct("v", "d"))).alias("bad"))
+    clash = F.coalesce(F.size("bad") > 0, F.lit(False))
+    judged = met.join(same, line, "left").withColumn("clash", clash).where(~F.col("clash") | ~F.arrays_overlap(zipped, "bad"))
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("ipos", F.col("ipos") + F.size("slots") - 1)))))
-    long_ = met.groupBy(*line).agg(covered.alias("n_tokens"))
-    judged = met.select(*line, "hash").join(long_, line).join(forward.join(back, line).join(same, line), line, "left").where("coalesce(forth, 1) = 1 and coalesce(back, 1) = 1")
-    pair = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("exact"), F.max("n_tokens").alias("n_tokens"))
-    return pair.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("size")).where((F.col("coverage") >= coverage) | (F.col("n_tokens") >= passage)).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "exact")
+    long_ = judged.groupBy(*line).agg(covered.alias("n_tokens"), F.max("clash").alias("any")).where(F.col("n_tokens") >= F.when(F.col("any"), max(passage, 2 * w)).otherwise(passage)).select("doc_id", "item_id", F.lit(True).alias("passage")).distinct()
+    pair = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
+    return pair.join(sizes, "item_id").join(long_, ["doc_id", "item_id"], "left").withColumn("coverage", F.col("n_windows") / F.col("size")).where((F.col("coverage") >= coverage) | F.col("passage")).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "exact")
 
 
 def clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

@@ -188,6 +188,19 @@ def test_templates_catch_passages_and_short_items(spark, make):
     assert got == {(1, 1), (3, 2), (4, 2), (5, 3), (7, 4), (10, 6)}
 
 
+def test_templates_drop_only_windows_in_conflict(spark, make):
+    item = "Every morning the baker puts 3 loaves near the open window and after a while somebody takes 5 of them, which leaves the old baker with a lot of flour but 2 clean trays until the next day when 2 more trucks come along with the grain for the rest of this whole week"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = [
+        (1, item.replace("3 loaves", "4 loaves").replace("5 of", "4 of")), (2, item.replace("2 clean", "7 clean").replace("2 more", "8 more")), (3, item.replace("2 more", "9 more")), (4, item),
+        (5, prose(4)),
+    ]
+    got = {r["doc_id"]: (r["exact"], r["n_windows"]) for r in templates.leaks(make(docs), bench).collect()}
+    n = got[4][1]
+    assert set(got) == {1, 2, 3, 4} and [got[i][0] for i in (1, 2, 3, 4)] == [False, False, False, True]
+    assert [got[i][1] for i in (1, 2, 3)] == [n - 14, n - 16, n - 8]  # 3 is the sixth token, so only 6 windows hold it
+
+
 def test_html_keeps_the_article_and_its_siblings():
     para = "This is a long paragraph of the article, with commas, and enough text to count as content, surely. " * 2
     page = f"<html><head><title>A &amp; B</title><script>var x='<p>no</p>'</script></head><body><div id='nav'><ul><li><a href='/'>Home, sweet, home, and more links to follow</a></li></ul></div><div class='main'><h1>Head</h1><p>{para}</p><p>{para}<a href=x>link</a></p><!-- <p>{para}</p> --></div><div class='sidebar'><p>{para}</p></div><footer><p>{para}</p></footer></body></html>"

@@ -5,8 +5,13 @@ Each paragraph (p, pre, td, and div without block elements inside) with enough t
 them, its grandparent half, the ancestor n levels above the parent a 3n-th.  A container's
 points are multiplied by 1 - link density (the share of its text that lies in links).  The
 best container is kept, with those of its siblings that have a fifth of its points, or are
-long paragraphs with few links.  Navigation, scripts, styles, comments, forms and asides
-never count.
+long paragraphs with few links.  Scripts, styles and markup comments never count.
+
+Navigation, headers, footers, asides and elements of which a whole class, id or role is a word
+of ``UNLIKELY`` are left out, unless such an element holds two paragraphs at least and
+most of the text of the page's paragraphs, and less than half of its own text lies in links: then it is scored like any
+other.  Readers' comments and related pages often outgrow the article; they come back only
+if no other paragraph is left.
 
 The parser makes one pass with a regular expression over the tags: unclosed and crossing
 elements are repaired as browsers do for the common cases (an open paragraph ends where a
@@ -33,23 +38,25 @@ MIN_PARAGRAPH, SIBLING_SHARE, LONG_PARAGRAPH, FEW_LINKS = 25, 0.2, 80, 0.25
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-UNLIKELY = re.compile(r"\b(?:ad|ads|advert|banner|breadcrumbs?|comments?|cookie|footer|header|menu|nav|navigation|promo|related|share|sidebar|social|sponsor)\b", re.I)
+UNLIKELY = re.compile(r"(?<!\S)(?:ad|ads|advert|banner|breadcrumbs?|comments?|cookie|footer|header|menu|nav|navigation|promo|related|share|sidebar|social|sponsor)(?!\S)", re.I)
+BESIDE = re.compile(r"(?<!\S)(?:comments?|related|share|social)(?!\S)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-SKIP = frozenset("nav footer aside form button select head title header menu".split())
+SKIP = frozenset("nav footer aside button select head title header menu".split())
 BASE = {"div": 5, "article": 10, "main": 10, "section": 3, "blockquote": 3, "pre": 3, "td": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 CLOSES = {"li": ("li", ("ul", "ol")), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "option": ("option", ("select",))}
+NEVER = frozenset("button select head title".split())
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("blocks", "items", "parent", "points", "skip", "tag")
+    __slots__ = ("beside", "blocks", "items", "parent", "points", "skip", "tag")
 
     def __init__(self, tag: str, parent: "Node | None", skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
         self.items: list = []
         self.points: float | None = None
-        self.blocks = False
+        self.blocks = self.beside = False
 
 
 def parse(html: str) -> Node:
@@ -86,7 +93,8 @@ def parse(html: str) -> Node:
                     break
         top = open_[-1]
         words = "" if not m.group(4) else " ".join(a or b or c or "" for a, b, c in ATTRIBUTE.findall(m.group(4)))
-        node = Node(name, top, top.skip or name in SKIP or (name not in ("body", "html", "article", "main") and bool(UNLIKELY.search(words))))
+        node = Node(name, top, name in SKIP or (name not in ("body", "html", "article", "main") and bool(UNLIKELY.search(words))))
+        node.beside = node.skip and bool(BESIDE.search(words))
         top.items.append(node)
         if name in BLOCK:
             top.blocks = True
@@ -124,6 +132,35 @@ def texts(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def restore(root: Node) -> None:
+    """Elements that would be left out, but hold most of the page's paragraphs, are scored after all."""
+    order = [root]
+    for n in order:
+        order.extend(x for x in n.items if isinstance(x, Node) and x.tag not in NEVER)
+    if not any(n.skip for n in order):
+        return
+    # text, text in links, text in paragraphs, paragraphs of each element
+    sizes: dict[int, tuple[int, int, int, int]] = {}
+    for n in reversed(order):
+        size = links = inner = count = 0
+        for x in n.items:
+            if isinstance(x, str):
+                size += len(SPACE.sub(" ", x).strip())
+            elif id(x) in sizes:
+                a, b, c, d = sizes[id(x)]
+                size, links, inner, count = size + a, links + b, inner + c, count + d
+        own = (n.tag in ("p", "pre", "td") or (n.tag == "div" and not n.blocks)) and size >= MIN_PARAGRAPH
+        sizes[id(n)] = size, size if n.tag == "a" else links, size if own else inner, 1 if own else count
+    whole, stack = sizes[id(root)][2], [root]
+    while stack:
+        n = stack.pop()
+        size, links, inner, count = sizes[id(n)]
+        if n.skip and count > 1 and 2 * inner > whole and 2 * links < size and (not n.beside or inner == whole):
+            n.skip = False
+        if not n.skip:
+            stack.extend(x for x in n.items if isinstance(x, Node) and id(x) in sizes)
+
+
 def tidy(text: str) -> str:
     return "\n".join(x for x in (SPACE.sub(" ", line).strip() for line in text.split("\n")) if x)
 
@@ -134,7 +171,9 @@ def extract(html: str | None) -> tuple[str, str, float, int]:
         return "", "", 0.0, 0
     found = TITLE.search(html)
     title = SPACE.sub(" ", unescape(found.group(1))).strip() if found else ""
-    nodes = texts(parse(html))
+    root = parse(html)
+    restore(root)
+    nodes = texts(root)
     of = {id(n): (t, k) for n, t, k in nodes}
     touched: list[Node] = []
     paragraphs = 0

@@ -284,3 +284,15 @@ def test_components(spark):
     common.prepare(spark)
     got = {x["node"]: x["label"] for x in common.components(spark, spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_html_scores_wrappers_that_hold_the_page():
+    para = "<p>This is a long paragraph of the article, with commas, and enough text to count as content, surely.</p>"
+    links = "<div class='nav'><ul>" + "<li><a href='/'>Home, sweet, home, and more links to follow</a></li>" * 30 + "</ul></div>"
+    wrap = lambda tag, body: html.extract(f"<html><body>{links}{tag}{body}</{tag[1:].split()[0].rstrip('>')}></body></html>")
+    for tag in ("<form>", "<div id='content' class='has-sidebar'>", "<div class='post no-comments'>", "<div class='sidebar'>", "<aside>", "<header>", "<div class='comments'>"):
+        _, text, score, n = wrap(tag, para * 4)
+        assert text.count("This is a long paragraph") == 4 and score > 0 and n == 4 and "Home" not in text, tag
+    _, text, _, n = html.extract(f"<body><div>{para * 2}</div><div class='comments'>{para.replace('article', 'reader') * 9}</div><div class='sidebar'>{para}</div></body>")
+    assert text.count("article") == 2 and "reader" not in text and n == 2  # comments outgrow an article, but aren't it
+    assert html.extract(f"<body>{links}</body>")[1:3] == ("", 0.0)

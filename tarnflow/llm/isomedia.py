@@ -153,15 +153,19 @@ def read(data: bytes | None) -> list[dict]:
     if not data:
         return [{"status": "no movie"}]
     view = memoryview(data)
-    tracks, movie, broken = [], False, False
+    tracks, movie, broken, fragments = [], False, False, False
     try:
         for kind, a, b in boxes(view, 0, len(view)):
             if kind == b"moov":
                 movie = True
                 tracks += [track(view, x, y) for k, x, y in boxes(view, a, b) if k == b"trak"]
+                fragments = fragments or any(k == b"mvex" for k, _, _ in boxes(view, a, b))
+            fragments = fragments or kind == b"moof"
     except ValueError:
         broken = True
-    return tracks or [{"status": "broken" if broken else "ok" if movie else "no movie"}]
+    if fragments:  # samples in moof boxes aren't read: what the tables say isn't all
+        tracks = [t | {"status": "fragmented"} if t["status"] == "ok" else t for t in tracks]
+    return tracks or [{"status": "fragmented" if fragments else "broken" if broken else "ok" if movie else "no movie"}]
 
 
 SCHEMA = "media_id bigint, track int, kind string, codec string, width int, height int, duration_ms bigint, n_samples bigint, keyframes array<bigint>, key_offsets array<bigint>, key_sizes array<bigint>, status string"

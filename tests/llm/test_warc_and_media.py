@@ -84,3 +84,11 @@ def test_compact_sizes_and_sound():
     trak = b(b"trak", f(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0), bytes(60)), b(b"mdia", f(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), f(b"hdlr", b"\0\0\0\0soun", bytes(13)), b(b"minf", stbl)))
     (t,) = isomedia.read(b(b"moov", trak))
     assert (t["track"], t["kind"], t["codec"], t["duration_ms"], list(t["keyframes"]), list(t["offsets"]), list(t["sizes"])) == (7, "soun", "mp4a", 30, [1, 2, 3], [100, 101, 103], [1, 2, 3])
+
+
+def test_fragmented_media_say_so():
+    b = isomedia.box
+    data = isomedia.write(1, b"z" * 3000)
+    assert [t["status"] for t in isomedia.read(data)] == ["ok"]
+    assert [t["status"] for t in isomedia.read(data + b(b"moof", b(b"mfhd", bytes(8))))] == ["fragmented"]
+    assert isomedia.read(b(b"moov", b(b"mvex"))) == isomedia.read(b(b"moof")) == [{"status": "fragmented"}]

@@ -4,15 +4,20 @@ The walker reads box headers only: 32- and 64-bit sizes, boxes that run to the e
 boxes, any nesting.  From each track it takes the handler, the time scale, the duration and
 the sample tables (``stts`` durations, ``stsz``/``stz2`` sizes, ``stsc`` samples to chunks,
 ``stco``/``co64`` chunk offsets, ``stss`` keyframes); joined, they give every keyframe's byte
-range in the file.  Payloads (``mdat``) are never touched.
+range in the file.  Fragments (``moof`` with ``traf``, ``tfhd``, ``trun`` and the defaults of ``trex``)
+add their samples to those of the tables, in file order.  Payloads (``mdat``) are never touched.
 
 One row for each track: codec (with profile where ``avcC`` or ``hvcC`` has it), duration in
 milliseconds, and parallel arrays of keyframe numbers, offsets and sizes.
 
 Defined cases: a null or empty container, or one without a movie box, has one row with a null
 track and status ``no movie``; a broken box or table gives ``broken`` for its track, or for
-the container; no ``stss`` means that every sample is a keyframe (sound, for example); an
-unknown duration is computed from ``stts``; repeated rows give repeated results.
+the container; a table that says more than its box can hold, and more samples of one common
+size than the container has bytes, are broken (nothing is allocated for them); numbers that
+don't fit 63 bits are broken; ``fragmented`` is a track of a fragmented movie without any
+sample here (its fragments are in other files); no ``stss`` means that every sample of the
+tables is a keyframe (sound, for example); an unknown duration is computed from the samples;
+repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -51,15 +56,27 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         at += size
 
 
-def walk(data: memoryview, start: int, end: int, found: dict[bytes, tuple[int, int]]) -> dict[bytes, tuple[int, int]]:
-    """The first box of each type below a range."""
-    for kind, a, b in boxes(data, start, end):
-        found.setdefault(kind, (a, b))
-        if kind in CONTAINERS:
-            walk(data, a, b, found)
+def walk(data: memoryview, start: int, end: int) -> dict[bytes, tuple[int, int]]:
+    """The first box of each type below a range, parents before their children; any depth."""
+    found: dict[bytes, tuple[int, int]] = {}
+    stack = [boxes(data, start, end)]
+    while stack:
+        for kind, a, b in stack[-1]:
+            found.setdefault(kind, (a, b))
+            if kind in CONTAINERS:
+                stack.append(boxes(data, a, b))
+                break
+        else:
+            stack.pop()
     return found
 
 
+def fits(n: int) -> int:
+    if not 0 <= n < 1 << 63:
+        raise ValueError("number")
+    return n
+
+
 def numbers(data: memoryview, at: int, end: int, count: int, width: int, kind: str) -> np.ndarray:
     if count * width > end - at:
         raise ValueError("table")
@@ -71,7 +88,7 @@ def sample_ranges(data: memoryview, box: dict[bytes, tuple[int, int]]) -> tuple[
     if b"stsz" in box:
         a, b = box[b"stsz"]
         same, n = struct.unpack_from(">II", data, a + 4)
-        if same and n * 1 > 1 << 31:
+        if same and n * same > len(data):
             raise ValueError("sample count")
         sizes = np.full(n, same, np.int64) if same else numbers(data, a + 12, b, n, 4, ">u4")
     else:
@@ -90,7 +107,7 @@ def sample_ranges(data: memoryview, box: dict[bytes, tuple[int, int]]) -> tuple[
     if not len(sizes):
         return sizes, sizes
     first = np.append(entries[:, 0], len(chunks) + 1)
-    if not len(entries) or first[0] != 1 or (np.diff(first) < 0).any() or entries[:, 1].max() * len(chunks) > 1 << 40:
+    if not len(entries) or first[0] != 1 or (np.diff(first) < 0).any() or not len(chunks) or chunks.min() < 0 or chunks.max() > 1 << 62:
         raise ValueError("stsc")
     per_chunk = np.repeat(entries[:, 1], np.diff(first))
     if per_chunk.sum() != len(sizes):
@@ -116,9 +133,10 @@ def codec_of(data: memoryview, a: int, b: int) -> tuple[str, int, int]:
 
 
 def track(data: memoryview, a: int, b: int) -> dict:
+    """A track's row, with its samples' durations as ``ticks`` and its time ``scale`` beside."""
     out: dict = {"status": "broken"}
     try:
-        box = walk(data, a, b, {})
+        box = walk(data, a, b)
         x, _ = box[b"tkhd"]
         out["track"] = struct.unpack_from(">I", data, x + (20 if data[x] else 12))[0]
         x, _ = box[b"hdlr"]
@@ -131,8 +149,8 @@ def track(data: memoryview, a: int, b: int) -> dict:
         stts = numbers(data, x + 8, y, struct.unpack_from(">I", data, x + 4)[0], 8, ">u4").reshape(-1, 2)
         if stts[:, 0].sum() != len(size):
             raise ValueError("stts")
-        if length in (0, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF):
-            length = int((stts[:, 0] * stts[:, 1]).sum())
+        ticks = sum(n * d for n, d in stts.tolist())
+        known = length not in (0, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF)
         if not scale:
             raise ValueError("time scale")
         if b"stss" in box:
@@ -142,33 +160,111 @@ def track(data: memoryview, a: int, b: int) -> dict:
                 raise ValueError("stss")
         else:
             key = np.arange(1, len(size) + 1)
-        out |= {"duration_ms": length * 1000 // scale, "n_samples": len(size), "keyframes": key, "offsets": offset[key - 1], "sizes": size[key - 1], "status": "ok"}
+        out |= {"duration_ms": fits((length if known else ticks) * 1000 // scale), "n_samples": len(size), "keyframes": key, "offsets": offset[key - 1], "sizes": size[key - 1], "scale": scale, "ticks": None if known else ticks, "status": "ok"}
     except (KeyError, IndexError, ValueError, struct.error, StopIteration):
         pass
     return out
 
 
+def run_of(data: memoryview, a: int, b: int, default: tuple[int, int, int]) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray]:
+    """(data offset, durations, sizes, whether each is a keyframe) of a ``trun``."""
+    flags, n = struct.unpack_from(">II", data, a)
+    flags &= 0xFFFFFF
+    at, offset, lead = a + 8, None, None
+    if flags & 1:
+        offset = struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & 4:
+        lead = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    if n > len(data):
+        raise ValueError("sample count")
+    rows = numbers(data, at, b, n * len(fields), 4, ">u4").reshape(n, len(fields))
+    each = [rows[:, fields.index(f)] if f in fields else np.full(n, d, np.int64) for f, d in zip((0x100, 0x200, 0x400), default)]
+    if lead is not None and n:
+        each[2] = each[2].copy()
+        each[2][0] = lead
+    if int(each[1].sum()) > len(data):
+        raise ValueError("sample sizes")
+    return offset, each[0], each[1], each[2] & 0x10000 == 0
+
+
+def fragment(data: memoryview, start: int, a: int, b: int, extends: dict[int, tuple[int, int, int]], found: dict[int, list]) -> None:
+    """The samples of a ``moof`` at ``start``: (offsets, sizes, keyframe or not, durations) by track, added to ``found``."""
+    end = start  # where the data of the run before ends
+    for kind, x, y in boxes(data, a, b):
+        if kind != b"traf":
+            continue
+        parts = list(boxes(data, x, y))
+        p = next(p for k, p, _ in parts if k == b"tfhd")
+        flags, number = struct.unpack_from(">II", data, p)
+        flags, at, base = flags & 0xFFFFFF, p + 8, start if flags & 0x20000 else end
+        if flags & 1:
+            base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+        at += 4 if flags & 2 else 0
+        default = list(extends.get(number, (0, 0, 0)))
+        for k, f in enumerate((8, 0x10, 0x20)):
+            if flags & f:
+                default[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+        end = base
+        for k, p, q in parts:
+            if k == b"trun":
+                offset, ticks, size, key = run_of(data, p, q, tuple(default))
+                begin = fits(end if offset is None else base + offset)
+                end = fits(begin + int(size.sum()))
+                found.setdefault(number, []).append((begin + np.cumsum(size) - size, size, key, ticks))
+
+
 def read(data: bytes | None) -> list[dict]:
     """The tracks of a container."""
     if not data:
         return [{"status": "no movie"}]
     view = memoryview(data)
     tracks, movie, broken, fragments = [], False, False, False
+    extends: dict[int, tuple[int, int, int]] = {}
+    found: dict[int, list] = {}
     try:
+        at = 0
         for kind, a, b in boxes(view, 0, len(view)):
             if kind == b"moov":
                 movie = True
                 tracks += [track(view, x, y) for k, x, y in boxes(view, a, b) if k == b"trak"]
-                fragments = fragments or any(k == b"mvex" for k, _, _ in boxes(view, a, b))
-            fragments = fragments or kind == b"moof"
-    except ValueError:
+                for k, x, y in boxes(view, a, b):
+                    if k == b"mvex":
+                        fragments = True
+                        for inner, p, _ in boxes(view, x, y):
+                            if inner == b"trex":
+                                number, _, *default = struct.unpack_from(">5I", view, p + 4)
+                                extends[number] = tuple(default)
+            elif kind == b"moof":
+                fragments = True
+                fragment(view, at, a, b, extends, found)
+            at = b
+    except (ValueError, struct.error, StopIteration):
         broken = True
-    if fragments:  # samples in moof boxes aren't read: what the tables say isn't all
-        tracks = [t | {"status": "fragmented"} if t["status"] == "ok" else t for t in tracks]
-    return tracks or [{"status": "fragmented" if fragments else "broken" if broken else "ok" if movie else "no movie"}]
+    if fragments:
+        tracks = [extended(t, found.get(t.get("track"), []), broken) if t["status"] == "ok" else t for t in tracks]
+    return tracks or [{"status": "fragmented" if fragments and not broken else "broken" if broken else "ok" if movie else "no movie"}]
+
+
+def extended(t: dict, runs: list, broken: bool) -> dict:
+    """A track with the samples of its fragments."""
+    if broken:
+        return t | {"status": "broken"}
+    if not runs:
+        return t | {"status": "fragmented"}
+    offset, size, key, ticks = (np.concatenate([r[k] for r in runs]) for k in range(4))
+    at = np.flatnonzero(key)
+    out = t | {"n_samples": t["n_samples"] + len(size)}
+    for name, more in (("keyframes", at + 1 + t["n_samples"]), ("offsets", offset[at]), ("sizes", size[at])):
+        out[name] = np.concatenate([t[name], more])
+    if t["ticks"] is not None:
+        out["duration_ms"] = (t["ticks"] + int(ticks.sum())) * 1000 // t["scale"]
+    return out
 
 
-SCHEMA = "media_id bigint, track int, kind string, codec string, width int, height int, duration_ms bigint, n_samples bigint, keyframes array<bigint>, key_offsets array<bigint>, key_sizes array<bigint>, status string"
+SCHEMA = "media_id bigint, track bigint, kind string, codec string, width int, height int, duration_ms bigint, n_samples bigint, keyframes array<bigint>, key_offsets array<bigint>, key_sizes array<bigint>, status string"
 
 
 def media_columns(media: DataFrame, media_id: str = "media_id", content: str = "content") -> DataFrame:
@@ -185,7 +281,7 @@ def media_columns(media: DataFrame, media_id: str = "media_id", content: str = "
             get = lambda k, t: pa.array([r.get(k) for r in rows], t)
             lists = pa.list_(pa.int64())
             yield common.batch(
-                media_id=pa.array(ids, pa.int64()), track=get("track", pa.int32()), kind=get("kind", pa.string()), codec=get("codec", pa.string()), width=get("width", pa.int32()), height=get("height", pa.int32()),
+                media_id=pa.array(ids, pa.int64()), track=get("track", pa.int64()), kind=get("kind", pa.string()), codec=get("codec", pa.string()), width=get("width", pa.int32()), height=get("height", pa.int32()),
                 duration_ms=get("duration_ms", pa.int64()), n_samples=get("n_samples", pa.int64()), keyframes=get("keyframes", lists), key_offsets=get("offsets", lists), key_sizes=get("sizes", lists), status=get("status", pa.string()),
             )
 
@@ -209,7 +305,9 @@ SAMPLE_BYTES, PER_CHUNK, KEY_EVERY, DELTA, SCALE = 256, 5, 6, 40, 1000
 
 
 def write(number: int, payload: bytes) -> bytes:
-    """A container with one video track whose samples are pieces of the payload."""
+    """A container with one video track whose samples are pieces of the payload; every fifth number's has them in a fragment."""
+    if number % 5 == 4:
+        return write_fragmented(number, payload)
     sizes = [len(payload[i : i + SAMPLE_BYTES]) for i in range(0, len(payload), SAMPLE_BYTES)]
     n = len(sizes)
     large = number % 2 == 1
@@ -219,17 +317,35 @@ def write(number: int, payload: bytes) -> bytes:
     chunks = [start + i * SAMPLE_BYTES for i in range(0, n, PER_CHUNK)]
     full_chunks, rest = divmod(n, PER_CHUNK)
     stsc = ([1, PER_CHUNK, 1] if full_chunks else []) + ([full_chunks + 1, rest, 1] if rest else [])
-    avc = number % 3 != 2
-    config = box(b"avcC", bytes([1, 100, 0, 31, 255, 225, 0])) if avc else box(b"hvcC", bytes([1, 1, 96, 0, 0, 0, 0, 0, 0, 0, 0, 0, 93]) + bytes(10))
-    entry = box(b"avc1" if avc else b"hvc1", bytes(24), struct.pack(">HH", 1280, 720), bytes(50), config)
     stbl = box(
-        b"stbl", full(b"stsd", struct.pack(">I", 1), entry), table(b"stts", [n, DELTA] if n else [], 2), table(b"stsc", stsc, 3),
+        b"stbl", description(number), table(b"stts", [n, DELTA] if n else [], 2), table(b"stsc", stsc, 3),
         full(b"stsz", struct.pack(">II", 0, n), struct.pack(f">{n}I", *sizes)), table(b"co64", chunks, 1, "Q") if large else table(b"stco", chunks), table(b"stss", list(range(1, n + 1, KEY_EVERY))),
     )
-    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, SCALE, n * DELTA, 0, 0)), full(b"hdlr", b"\0\0\0\0vide", bytes(13)), box(b"minf", full(b"vmhd", bytes(8)), stbl))
-    tkhd = full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, n * DELTA), bytes(60))
-    moov = box(b"moov", full(b"mvhd", struct.pack(">IIII", 0, 0, SCALE, n * DELTA), bytes(80)), box(b"trak", tkhd, mdia))
-    return head + data + moov
+    return head + data + movie(stbl, n * DELTA)
+
+
+def description(number: int) -> bytes:
+    avc = number % 3 != 2
+    config = box(b"avcC", bytes([1, 100, 0, 31, 255, 225, 0])) if avc else box(b"hvcC", bytes([1, 1, 96, 0, 0, 0, 0, 0, 0, 0, 0, 0, 93]) + bytes(10))
+    return full(b"stsd", struct.pack(">I", 1), box(b"avc1" if avc else b"hvc1", bytes(24), struct.pack(">HH", 1280, 720), bytes(50), config))
+
+
+def movie(stbl: bytes, length: int, *more: bytes) -> bytes:
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, SCALE, length, 0, 0)), full(b"hdlr", b"\0\0\0\0vide", bytes(13)), box(b"minf", full(b"vmhd", bytes(8)), stbl))
+    tkhd = full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, length), bytes(60))
+    return box(b"moov", full(b"mvhd", struct.pack(">IIII", 0, 0, SCALE, length), bytes(80)), box(b"trak", tkhd, mdia), *more)
+
+
+def write_fragmented(number: int, payload: bytes) -> bytes:
+    """The same with the samples in one fragment: durations by default, sizes and flags for each sample."""
+    sizes = [len(payload[i : i + SAMPLE_BYTES]) for i in range(0, len(payload), SAMPLE_BYTES)]
+    none = box(b"stbl", description(number), table(b"stts", []), table(b"stsc", []), full(b"stsz", struct.pack(">II", 0, 0)), table(b"stco", []))
+    head = box(b"ftyp", b"iso5\0\0\2\0iso5mp41") + movie(none, 0, box(b"mvex", full(b"trex", struct.pack(">5I", 1, 1, DELTA, 0, 0x10000))))
+    rows = [x for k, s in enumerate(sizes) for x in (s, 0 if k % KEY_EVERY == 0 else 0x10000)]
+    offset = 8 + 16 + 8 + 16 + 20 + 4 * len(rows) + 8
+    run = box(b"trun", struct.pack(">IIi", 0x601, len(sizes), offset), struct.pack(f">{len(rows)}I", *rows))
+    moof = box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", box(b"tfhd", struct.pack(">II", 0x20000, 1)), run))
+    return head + moof + box(b"mdat", payload)
 
 
 def from_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -254,11 +370,11 @@ def from_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html") -
 
 ORACLE_SQL = r"""
 with size as (
-  select page_id, octet_length(encode(coalesce(html, ''))) as n, page_id % 2 = 1 as large, page_id % 3 <> 2 as avc from pages
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, page_id % 2 = 1 as large, page_id % 3 <> 2 as avc, page_id % 5 = 4 as fragmented from pages
 ), t as (
-  select *, (n + 255) // 256 as samples, case when large then 40 else 32 end as start, range(0, (n + 255) // 256, 6) as keys from size
+  select *, (n + 255) // 256 as samples, case when fragmented then case when avc then 650 else 666 end + 8 * ((n + 255) // 256) when large then 40 else 32 end as start, range(0, (n + 255) // 256, 6) as keys from size
 )
-select page_id as media_id, cast(1 as integer) as track, 'vide' as kind, case when avc then 'avc1.64001f' else 'hvc1.1.L93' end as codec,
+select page_id as media_id, cast(1 as bigint) as track, 'vide' as kind, case when avc then 'avc1.64001f' else 'hvc1.1.L93' end as codec,
        cast(1280 as integer) as width, cast(720 as integer) as height, cast(samples * 40 as bigint) as duration_ms, cast(samples as bigint) as n_samples,
        list_transform(keys, lambda k: cast(k + 1 as bigint)) as keyframes,
        list_transform(keys, lambda k: cast(start + k * 256 as bigint)) as key_offsets,

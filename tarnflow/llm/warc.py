@@ -9,29 +9,41 @@ with chunked transfer coding, the chunks are decoded (extensions and trailers ar
 
 ``status`` says what came out: ``ok``; ``missing`` (a number is absent, or the last segment's
 total length is); ``conflict`` (two different segments share a number); ``length`` (the sizes
-don't add up); ``framing`` (broken chunks); ``malformed`` (not a WARC record, a row by itself
-without an id).  The payload is null for all but ``ok``.
+don't add up); ``framing`` (broken chunks); ``long`` (more than ``MOST_BYTES``, which no value of
+a row can hold); ``malformed`` (not a WARC record, a row by itself without an id).  The payload
+is null for all but ``ok``.
+
+Records of files come from ``from_files``: plain or gzip members, one record after another.
+
+A segment that is delivered again and again is dropped where it is read, so that a hot record
+brings at most one copy of each segment from each task to its place.
 
 Defined cases: null and empty records are malformed; a record delivered twice counts once;
-an unsegmented record is a single segment; repeated headers count as first given.
+an unsegmented record is a single segment; repeated headers count as first given; numbers
+that aren't plain digits or don't fit (segment numbers 32 bits, lengths 64) are malformed; an HTTP
+status of other than three digits is null.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 CHUNK, SEGMENT = 1000, 2048
-SIZE = re.compile(rb"([0-9a-fA-F]+)[ \t]*(?:;[^\r\n]*)?\r?\n")
+SIZE = re.compile(rb"0*([0-9a-fA-F]{1,16})[ \t]*(?:;[^\r\n]*)?\r?\n")
+DIGITS = re.compile(r"0*([0-9]{1,19})")
 #: Rows of a batch that writes or reads payloads.
 BYTES_AT_ONCE = 8 << 20
+#: A value of a row can't be longer.
+MOST_BYTES = (1 << 31) - 1024
 
 
 def headers(head: bytes) -> dict[str, str]:
@@ -60,6 +72,14 @@ def split_head(data: bytes) -> tuple[bytes, bytes] | None:
     return None
 
 
+def whole(text: str, bits: int = 63) -> int:
+    """A number of plain digits that fits; ValueError otherwise."""
+    found = DIGITS.fullmatch(text)
+    if found is None or int(found.group(1)) >> bits:
+        raise ValueError(text[:40])
+    return int(found.group(1))
+
+
 def read_record(data: bytes | None) -> tuple[str, int, int | None, str | None, str, bytes] | None:
     """(origin id, segment number, total length, url, type, block); None if it isn't a WARC record."""
     if not data or not data.startswith(b"WARC/"):
@@ -71,11 +91,11 @@ def read_record(data: bytes | None) -> tuple[str, int, int | None, str | None, s
     kind = h.get("warc-type", "").lower()
     origin = h.get("warc-segment-origin-id") if kind == "continuation" else h.get("warc-record-id")
     try:
-        length, number = int(h["content-length"]), int(h.get("warc-segment-number", "1"))
-        total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
+        length, number = whole(h["content-length"]), whole(h.get("warc-segment-number", "1"), 31)
+        total = whole(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
     except (KeyError, ValueError):
         return None
-    if not origin or length < 0 or number < 1 or len(parts[1]) < length:
+    if not origin or number < 1 or len(parts[1]) < length:
         return None
     if total is None and "warc-segment-number" not in h:
         total = length
@@ -113,7 +133,7 @@ def payload(block: bytes) -> tuple[str, int | None, bytes | None]:
     if parts is None:
         return "ok", None, block
     line = parts[0].split(b"\n", 1)[0].split()
-    code = int(line[1]) if len(line) > 1 and line[1].isdigit() else None
+    code = int(line[1]) if len(line) > 1 and line[1].isdigit() and len(line[1]) == 3 else None
     if "chunked" in headers(parts[0]).get("transfer-encoding", "").lower():
         body = dechunk(parts[1])
         return ("ok" if body is not None else "framing"), code, body
@@ -125,8 +145,16 @@ def parse(records: DataFrame, record: str = "record") -> DataFrame:
     schema = "origin string, number int, total bigint, url string, kind string, block binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+
+        def new(row: tuple) -> bool:
+            """False for a segment that this task has had before."""
+            key = hashlib.blake2b(repr(row[:5]).encode() + row[5], digest_size=16).digest()
+            return not (key in seen or seen.add(key))
+
         for b in batches:
             rows = [read_record(x) or (None, zlib.crc32(x or b"") >> 1, None, None, "malformed", None) for x in b.column(0).to_pylist()]
+            rows = [r for r in rows if r[0] is None or new(r)]
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield common.batch(**{n: pa.array(c, t) for n, c, t in zip(("origin", "number", "total", "url", "kind", "block"), cols, kinds)})
@@ -145,9 +173,11 @@ def reassemble(records: DataFrame, record: str = "record") -> DataFrame:
     key = F.coalesce(F.col("origin"), F.col("number").cast("string"))
     ordered = parsed.repartition(key).sortWithinPartitions("origin", "number")
 
-    def close(origin: str | None, parts: list[tuple[int, bytes]], totals: set[int], url: str | None, clash: bool) -> tuple:
-        block = b"".join(p for _, p in parts)
+    def close(origin: str | None, parts: list[tuple[int, bytes]], totals: set[int], url: str | None, clash: bool, held: int) -> tuple:
         total = max(totals) if totals else None
+        if held > MOST_BYTES:
+            return origin, url, "long", len(parts), total, None, None
+        block = b"".join(p for _, p in parts)
         if clash or len(totals) > 1:
             status = "conflict"
         elif total is None or [n for n, _ in parts] != list(range(1, len(parts) + 1)):
@@ -162,7 +192,7 @@ def reassemble(records: DataFrame, record: str = "record") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
-        now, parts, totals, url, clash = None, [], set(), None, False
+        now, parts, totals, url, clash, held = None, [], set(), None, False, 0
         for b in batches:
             for origin, number, total, uri, _, block in zip(*(c.to_pylist() for c in b.columns)):
                 if origin is None:
@@ -170,13 +200,14 @@ def reassemble(records: DataFrame, record: str = "record") -> DataFrame:
                     continue
                 if origin != now:
                     if now is not None:
-                        out.append(close(now, parts, totals, url, clash))
+                        out.append(close(now, parts, totals, url, clash, held))
                         size += len(out[-1][6] or b"")
-                    now, parts, totals, url, clash = origin, [], set(), None, False
+                    now, parts, totals, url, clash, held = origin, [], set(), None, False, 0
                 if parts and parts[-1][0] == number:
                     clash |= parts[-1][1] != block
                 else:
-                    parts.append((number, block))
+                    held += len(block)
+                    parts.append((number, block if held <= MOST_BYTES else b""))
                 if total is not None:
                     totals.add(total)
                 url = url or uri
@@ -184,7 +215,7 @@ def reassemble(records: DataFrame, record: str = "record") -> DataFrame:
                     yield as_batch(out)
                     out, size = [], 0
         if now is not None:
-            out.append(close(now, parts, totals, url, clash))
+            out.append(close(now, parts, totals, url, clash, held))
         if out:
             yield as_batch(out)
 
@@ -196,6 +227,66 @@ def reassemble(records: DataFrame, record: str = "record") -> DataFrame:
     return ordered.mapInArrow(common.lean(run), SCHEMA)
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The content of a file: itself, or its gzip members one by one; a broken member ends them, of one that is cut what is there counts."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    while data.startswith(b"\x1f\x8b"):
+        unzip, out = zlib.decompressobj(31), b""
+        try:
+            out = unzip.decompress(data)
+        except zlib.error:
+            return
+        if out:
+            yield out
+        data = unzip.unused_data.lstrip(b"\0")
+
+
+def split_records(data: bytes) -> Iterator[bytes]:
+    """The records of a file's content, each with its head and block; what isn't a record up to the next one is a row of its own."""
+    at = 0
+    while at < len(data):
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at == len(data):
+            return
+        ends = [(data.find(m, at), len(m)) for m in (b"\r\n\r\n", b"\n\n")]
+        head = min(((p, n) for p, n in ends if p >= 0), default=None)
+        end = None
+        if head is not None and data.startswith(b"WARC/", at):
+            try:
+                end = head[0] + head[1] + whole(headers(data[at : head[0]])["content-length"])
+            except (KeyError, ValueError):
+                pass
+        if end is None:  # it goes on at the next line that begins a record
+            found = data.find(b"\nWARC/", at + 1)
+            end = len(data) if found < 0 else found + 1
+        yield data[at:end]
+        at = end
+
+
+def from_files(spark: SparkSession, path: str) -> DataFrame:
+    """(record): the records of WARC files, plain or gzip; a file is read by one task, as gzip demands."""
+    common.prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, size = [], 0
+            for x in b.column(0):
+                for part in members(x.as_py() or b""):
+                    for record in split_records(part):
+                        out.append(record)
+                        size += len(record)
+                        if size > BYTES_AT_ONCE:
+                            yield common.batch(record=pa.array(out, pa.binary()))
+                            out, size = [], 0
+            if out:
+                yield common.batch(record=pa.array(out, pa.binary()))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(common.lean(run), "record binary")
+
+
 def write_record(record_id: str, url: str | None, body: bytes, chunk: int = CHUNK, segment: int = SEGMENT) -> list[bytes]:
     """A chunked HTTP response as WARC segments."""
     framed = b"".join(b"%x\r\n%s\r\n" % (len(body[i : i + chunk]), body[i : i + chunk]) for i in range(0, len(body), chunk)) + b"0\r\n\r\n"

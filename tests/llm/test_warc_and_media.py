@@ -1,3 +1,4 @@
+import gzip
 import random
 import struct
 
@@ -86,6 +87,78 @@ def test_compact_sizes_and_sound():
     assert (t["track"], t["kind"], t["codec"], t["duration_ms"], list(t["keyframes"]), list(t["offsets"]), list(t["sizes"])) == (7, "soun", "mp4a", 30, [1, 2, 3], [100, 101, 103], [1, 2, 3])
 
 
+def test_odd_numbers_are_malformed(spark):
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\n{}\r\n\r\nabc"
+    odd = ["Content-Length: 3\r\nWARC-Segment-Number: 99999999999", "Content-Length: 3\r\nWARC-Segment-Number: 1\r\nWARC-Segment-Total-Length: 99999999999999999999", "Content-Length: -3", "Content-Length: 1_0", "Content-Length: " + "9" * 6000, "Content-Length: 3\r\nWARC-Segment-Number: 0"]
+    got = found(spark, [head.format(x).encode() for x in odd])
+    assert [(x["record_id"], x["status"]) for x in got] == [(None, "malformed")] * len(odd)
+    http = "HTTP/1.1 99999999999 OK\r\n\r\nbody"
+    (x,) = found(spark, [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: {len(http)}\r\n\r\n{http}".encode()])
+    assert (x["status"], x["http_status"], bytes(x["payload"])) == ("ok", None, b"body")
+
+
+def test_files(spark, tmp_path):
+    bodies = [random.Random(i).randbytes(5000 * i) for i in range(4)]
+    rows = records(bodies)
+    (tmp_path / "a.warc").write_bytes(b"".join(rows[:5]) + b"junk\r\nmore junk\n" + b"".join(rows[5:9]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in rows[9:]))
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(rows[0])[:40])
+    got = warc.reassemble(warc.from_files(spark, str(tmp_path))).collect()
+    assert {x["record_id"]: bytes(x["payload"]) for x in got if x["status"] == "ok"} == {f"<urn:page:{i}>": b for i, b in enumerate(bodies)}
+    assert [x["status"] for x in got if x["status"] != "ok"] == ["malformed"] * 2  # junk, and what is left of a cut member
+
+
+def columns(spark, rows):
+    return isomedia.media_columns(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(rows)], "media_id bigint, content binary")).collect()
+
+
+def test_columns_of_hostile_media(spark):
+    """Flipped, cut, nested and oversized input gives rows, never an exception, and allocates nothing for what isn't there."""
+    b, f = isomedia.box, isomedia.full
+    rows = []
+    for number in (1, 4, 5):
+        data = isomedia.write(number, b"z" * 3000)
+        for at in range(0, len(data), 11):
+            rows += [data[:at], data[:at] + bytes([data[at] ^ 0xFF]) + data[at + 1 :], data[:at] + b"\xff" * 4 + data[at + 4 :]]
+    nested = b""
+    for _ in range(20_000):
+        nested = b(b"moov", nested)
+    rows += [nested, b(b"moov", b(b"trak", nested))]
+
+    def one(sizes, stsc, stts=(), number=7, wide=False, length=0, scale=1000):
+        stbl = b(b"stbl", f(b"stsd", struct.pack(">I", 1), b(b"mp4a", bytes(28))), isomedia.table(b"stts", list(stts), 2), isomedia.table(b"stsc", stsc, 3), f(b"stsz", struct.pack(">II", *sizes)), isomedia.table(b"stco", [100]))
+        mdhd = box_of(1, struct.pack(">QQIQ", 0, 0, scale, length)) if wide else f(b"mdhd", struct.pack(">IIIIHH", 0, 0, scale, length, 0, 0))
+        return b(b"moov", b(b"trak", f(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0), bytes(60)), b(b"mdia", mdhd, f(b"hdlr", b"\0\0\0\0soun", bytes(13)), b(b"minf", stbl))))
+
+    def box_of(version, body):
+        return b(b"mdhd", bytes([version, 0, 0, 0]), body, bytes(4))
+
+    huge = 2**31 - 1
+    rows += [one((1, huge), [1, huge, 1], [huge, 1]), one((0, huge), [1, huge, 1], [huge, 1]), one((4, 3), [1, 3, 1], [3, 10], number=2**32 - 1), one((4, 3), [1, 3, 1], [3, 10], wide=True, length=2**64 - 2, scale=1)]
+    got = {}
+    for r in columns(spark, rows):
+        got.setdefault(r["media_id"], []).append(r)
+    assert set(got) == set(range(len(rows)))
+    last = [got[len(rows) - k][0] for k in (4, 3, 2, 1)]
+    assert [r["status"] for r in last] == ["broken", "broken", "ok", "broken"] and last[2]["track"] == 2**32 - 1
+
+
+def test_fragments_are_read():
+    b = isomedia.box
+    payload = random.Random(3).randbytes(3000)
+    data = isomedia.write(4, payload)  # one fragment; a second one follows, with a common size and the first sample a keyframe
+    more = random.Random(4).randbytes(400)
+    run = b(b"trun", struct.pack(">IIiI", 0x5, 4, 8 + 16 + 8 + 20 + 24 + 8, 0))
+    moof = b(b"moof", isomedia.full(b"mfhd", struct.pack(">I", 2)), b(b"traf", b(b"tfhd", struct.pack(">III", 0x20010, 1, 100)), run))
+    (t,) = isomedia.read(data + moof + b(b"mdat", more))
+    assert (t["status"], t["n_samples"], t["duration_ms"]) == ("ok", 16, 640) and list(t["keyframes"]) == [1, 7, 13]
+    at, n = t["offsets"][-1], t["sizes"][-1]
+    assert (data + moof + b(b"mdat", more))[at : at + n] == more[:100]
+    alone = isomedia.read(data[: data.index(b"moof") - 4])
+    assert [x["status"] for x in alone] == ["fragmented"]
+
+
 def test_fragmented_media_say_so():
     b = isomedia.box
     data = isomedia.write(1, b"z" * 3000)

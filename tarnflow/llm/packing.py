@@ -8,13 +8,15 @@ changes it by 2 (N(h+s) - N(h) + 1), where full windows count nothing.  N is an
 indexed by level, so a placement is one vector operation over the levels in use; ties go
 to the fullest level, and the oldest window of a level is taken.
 
-The order is sequential by nature, so the corpus is dealt by hash of the id into shards that
-are packed independently.  Their number follows the corpus: one for ``SHARD_TOKENS`` tokens,
-counted over all documents, so that a shard's state and its share of half-filled windows
-(at most WINDOW levels) stay the same at any size.
+The order is sequential by nature, so the corpus is cut, in the order of arrival, into stretches
+(shards) of ``SHARD_TOKENS`` tokens that are packed independently: shard s begins with the first
+document before which s times so many tokens have come.  Documents that arrive later never change
+the windows of earlier ones, and a shard's state and its share of half-filled windows (at most
+WINDOW levels) are the same at any size of the corpus.  The running sum needs no single task:
+documents are range-partitioned, and a row for each partition goes over the driver.
 
 A document's length is its number of words and one end mark.  Defined cases: null and empty
-texts have length 1 (the mark); null ids are packed first; repeated rows are packed each;
+texts have length 1 (the mark); null ids are packed first; repeated rows are packed each, one after another;
 a text longer than a window is cut, never dropped.
 """
 
@@ -80,6 +82,32 @@ def lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(common.lean(run), "doc_id bigint, tokens bigint")
 
 
+def stretches(sized: DataFrame, shard_tokens: int) -> tuple[DataFrame, int]:
+    """(doc_id, tokens, shard), and the number of shards: shard is the number of whole shard_tokens that come before the document, by doc_id, then tokens."""
+    order = ["doc_id", "tokens", "again"]
+    # again parts repeated rows, so that any number of them spreads over partitions
+    n = max(1, common.partitions(sized))
+    placed = sized.checkpoint().withColumn("again", F.monotonically_increasing_id()).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    base, rows = 0, []
+    for r in sorted(placed.groupBy("part").agg(F.sum("tokens").alias("all")).collect()):
+        rows.append((r["part"], base))
+        base += r["all"]
+    known = dict(rows)  # by partition of the checkpoint, which stays as it is when a task runs again
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for b in batches:
+            tokens = b.column(1).to_numpy(zero_copy_only=False)
+            if at is None and b.num_rows:
+                at = known[b.column(2)[0].as_py()]
+            before = np.cumsum(tokens) - tokens + (at or 0)
+            at = (at or 0) + int(tokens.sum())
+            yield common.batch(doc_id=b.column(0), tokens=b.column(1), shard=(before // shard_tokens).astype(np.int32))
+
+    dealt = placed.sortWithinPartitions(*order).select("doc_id", "tokens", "part").mapInArrow(common.lean(run), "doc_id bigint, tokens bigint, shard int")
+    return dealt, 1 + base // shard_tokens
+
+
 SCHEMA = "doc_id bigint, shard int, window_id bigint, window_offset int, doc_offset bigint, n_tokens int"
 
 
@@ -88,10 +116,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
     if window < 1 or shard_tokens < 1:
         raise ValueError("window >= 1, shard_tokens >= 1")
     common.prepare(docs.sparkSession)
-    sized = lengths(docs, doc_id, text).checkpoint()
-    total = sized.agg(F.sum("tokens")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    dealt, shards = stretches(lengths(docs, doc_id, text), shard_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, packer = None, None

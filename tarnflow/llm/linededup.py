@@ -1,26 +1,33 @@
 """Repeated runs of lines, by a suffix array over line ids.
 
-The corpus is one sequence of line ids for each document.  Suffixes that begin with the same
-h lines share a rank, the number of suffixes before theirs; a doubling step orders the
-members of each rank by the rank of the suffix h lines further on, which gives the ranks for
-2h lines.  Only suffixes that still share their rank go on; a line that occurs once in the
-corpus, and the end of a document, tie with nothing.  Steps go on until no two suffixes tie,
-so the number of steps is the logarithm of the longest repeat.
-
-All suffixes of one rank for h lines are an interval of the suffix array whose longest
-common prefix is at least h.  In an interval of at least ``MIN_LINES`` lines the first
-suffix (by doc_id, then position) stays, and the h lines of every other one are copies.
-Copies that touch or overlap make up the maximal repeated runs; they are deleted.
-
-A step is one join on (text, position), one aggregation by rank with partial aggregation on
-the map side, and one window over the few distinct pairs of ranks, so a line that occurs in
-millions of documents doesn't meet in one task.
+The corpus is one sequence of line ids, document after document.  Suffixes that begin with the
+same h lines are an interval of the suffix array whose longest common prefix is at least h.  It is
+named by its first member (the one with the least place in the corpus): which of two continuations sorts
+first decides nothing here, and sorting all continuations of a hot line would take one task.
+A doubling step parts each interval by the name of the suffix h lines further on, which gives
+the intervals for 2h lines.  Only suffixes that still share theirs go on; a line that occurs once in
+the corpus, and the end of a document, tie with nothing.  Steps go on until no two suffixes
+tie, so the number of steps is the logarithm of the longest repeat.
+
+A suffix that isn't the first of its interval is a later copy of h lines.  How far it goes on
+beyond the largest such h, the descent finds: with steps h/2, h/4, ... 1 the members of an
+interval part by the name of what follows; those that aren't the first of their part move into
+it, the first stays (and is kept in the part as a source).  At the end each suffix stands in the
+interval of its longest common prefix with any earlier suffix, whose first member is its source.
+A run is maximal if it doesn't end with the run one line before.
+
+A later copy of a maximal run of at least ``MIN_LINES`` lines and ``MIN_CHARS`` characters in all
+is deleted: a long line by itself, or short lines one after another; a lone short line stays.
+
+A step is a join on the place and an aggregation by pairs of names with partial aggregation on
+the map side, joined back; no window holds an interval, so a line that occurs in millions of
+documents doesn't meet in one task.
 
 Lines are compared without white space at their ends.  Blank lines aren't part of the
 sequence and stay.  Defined cases: null ids take no part and stay as they are; null and empty
 texts have no lines; identical rows (same id, same text) count once and are treated alike;
-different texts under one id are different texts, in the order of a hash; a column that has the
-name of the count is replaced by it, all others may have any name.
+different texts under one id are different texts, in the order of a hash; columns that have the
+names of the count and the runs are replaced by them, all others may have any name.
 """
 
 from __future__ import annotations
@@ -35,13 +42,13 @@ from pyspark.sql import functions as F
 from . import common, kernel
 from .kernel import U64
 
-MIN_LINES = 2
+MIN_LINES, MIN_CHARS = 1, 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, pos, line, id): the lines that aren't blank; pos counts them, line counts all."""
+    """(doc_id, uid, pos, left, line, id, chars, ahead): the lines that aren't blank; pos counts them, left those from here on, line counts all; ahead: characters of those before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,103 +74,186 @@ def lines(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(off, start, side="right") - 1
                 begin = np.searchsorted(doc, np.arange(len(off) - 1))
                 head = np.concatenate([[0], np.cumsum(breaks)])
+                count = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+                chars = count[end] - count[start]
+                ahead = np.cumsum(chars) - chars
                 take = pa.array(doc + first)
                 yield common.batch(
-                    doc_id=b.column(0).take(take), uid=b.column(1).take(take), pos=(np.arange(len(doc)) - begin[doc]).astype(np.int32),
-                    line=(head[start] - head[off[doc]]).astype(np.int32), id=h.view(np.int64),
+                    doc_id=b.column(0).take(take), uid=b.column(1).take(take), pos=(np.arange(len(doc)) - begin[doc]).astype(np.int32), left=(np.append(begin[1:], len(doc))[doc] - np.arange(len(doc))).astype(np.int32),
+                    line=(head[start] - head[off[doc]]).astype(np.int32), id=h.view(np.int64), chars=chars.astype(np.int64), ahead=ahead - ahead[begin[doc]],
                 )
 
-    return docs.select("doc_id", "uid", "text").mapInArrow(common.lean(run), "doc_id bigint, uid bigint, pos int, line int, id bigint").dropDuplicates(["uid", "pos"])
+    return docs.select("doc_id", "uid", "text").mapInArrow(common.lean(run), "doc_id bigint, uid bigint, pos int, left int, line int, id bigint, chars bigint, ahead bigint").dropDuplicates(["uid", "pos"])
+
+
+def numbered(lines_: DataFrame) -> DataFrame:
+    """The lines with n, their place in the corpus: by doc_id, then text (its hash), then position; the lines of a text are consecutive."""
+    order = ["doc_id", "uid", "pos"]
+    placed = lines_.repartitionByRange(common.partitions(lines_), *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    known, base = {}, 0  # by partition of the checkpoint, which stays as it is when a task runs again
+    for r in sorted(placed.groupBy("part").count().collect()):
+        known[r["part"]] = base
+        base += r["count"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = known[b.column(0)[0].as_py()] if at is None else at
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + b.num_rows)), *b.columns[1:]], ["n", *b.schema.names[1:]])
+            at += b.num_rows
+
+    columns = ["doc_id", "uid", "left", "line", "id", "chars", "ahead"]
+    schema = "n bigint, doc_id bigint, uid bigint, left int, line int, id bigint, chars bigint, ahead bigint"
+    return placed.sortWithinPartitions(*order).select("part", *columns).mapInArrow(common.lean(run), schema).checkpoint()
+
+
+LATER = "n <> name"
 
 
-def with_order(lines_: DataFrame) -> DataFrame:
-    """key: one number for the order of suffixes, by doc_id, then text (34 bits of its hash), then position."""
-    wide = lambda c: F.col(c).cast("decimal(38,0)")
-    text = F.col("uid").bitwiseAND(F.lit((1 << 34) - 1)).cast("decimal(38,0)")
-    key = ((wide("doc_id") * F.lit(1 << 34) + text).cast("decimal(38,0)") * F.lit(1 << 28) + wide("pos")).cast("decimal(38,0)")
-    return lines_.withColumn("key", key)
+def double(now: DataFrame, step: int) -> DataFrame:
+    """(n, left, name) for twice as many lines; only suffixes that still tie."""
+    ahead = now.select((F.col("n") - step).alias("n"), F.col("name").alias("next"))
+    both = now.where(F.col("left") > step).join(ahead, "n")  # no suffix ahead: it ties with nothing
+    pairs = both.groupBy("name", "next").agg(F.count("*").alias("k"), F.min("n").alias("first")).where("k > 1").drop("k")
+    return both.join(pairs, ["name", "next"]).select("n", "left", F.col("first").alias("name"))
 
 
-def first_ranks(ids: DataFrame) -> DataFrame:
-    """(id, rank, first): how many suffixes begin with a smaller line id, and the first suffix's key, for ids that occur twice at least."""
-    k = ids.groupBy("id").agg(F.count("*").alias("k"), F.min("key").alias("first")).where("k > 1").withColumn("part", F.shiftright("id", 52)).checkpoint()
-    parts = k.groupBy("part").agg(F.sum("k").alias("all"))
-    before = parts.withColumn("base", F.sum("all").over(Window.orderBy("part")) - F.col("all")).select("part", "base")  # 4096 rows at most
-    inner = F.sum("k").over(Window.partitionBy("part").orderBy("id")) - F.col("k")
-    return k.withColumn("inner", inner).join(F.broadcast(before), "part").select("id", (F.col("base") + F.col("inner")).alias("rank"), "first")
+def branching(level: DataFrame, above: DataFrame | None, h: int) -> DataFrame:
+    """(n, left, src, l, need): the members of h-intervals that aren't later copies of 2h lines, where there are several; need: later copies of h lines."""
+    own = level if above is None else level.join(above.where(LATER).select("n"), "n", "left_anti")
+    if h == 1:  # no step is left to take
+        own = own.where(LATER)
+    else:
+        own = own.join(own.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "name", "left_semi")
+    return own.select("n", "left", F.col("name").alias("src"), F.lit(h).alias("l"), F.expr(LATER).alias("need"))
 
 
-def double(now: DataFrame, base: DataFrame, step: int) -> DataFrame:
-    """Ranks for the lines of now followed by those that base ranks, step lines on; only those that still tie.  later: not the first of its rank."""
-    ahead = base.select("uid", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-    both = now.drop("later").join(ahead, ["uid", "pos"])  # no suffix ahead: it ties with nothing
-    pairs = both.groupBy("rank", "next").agg(F.count("*").alias("k"), F.min("key").alias("first"))
-    place = F.sum("k").over(Window.partitionBy("rank").orderBy("next")) - F.col("k")
-    ranked = pairs.withColumn("new", F.col("rank") + place).where("k > 1").select("rank", "next", "new", "first")
-    return both.join(ranked, ["rank", "next"]).select("uid", "pos", "key", F.col("new").alias("rank"), (F.col("key") != F.col("first")).alias("later"))
+def descend(state: DataFrame, level: DataFrame, h: int) -> DataFrame:
+    """One step: members of an interval part by the name of the h lines that follow."""
+    ahead = level.select(F.col("n").alias("at"), F.col("name").alias("next"))
+    at = F.when(F.col("left") > F.col("l"), F.col("n") + F.col("l"))
+    met = state.withColumn("at", at).join(ahead, "at", "left").drop("at")
+    group = ["src", "l", "next"]
+    parts = met.where("next is not null").groupBy(*group).agg(F.count("*").alias("k"), F.min("n").alias("name"), F.max("need").alias("any")).where("k > 1 and any").select(*group, "name")
+    placed = met.join(parts, group, "left")
+    stay = F.struct(F.col("src").alias("src"), F.col("l").alias("l"), F.col("need").alias("need"))
+    move = lambda need: F.struct(F.col("name").alias("src"), (F.col("l") + h).alias("l"), need.alias("need"))
+    to = F.when(F.col("name").isNull(), F.array(stay)).when(F.expr(LATER), F.array(move(F.col("need")))).otherwise(F.array(stay, move(F.lit(False))))
+    return placed.select("n", "left", F.explode(to).alias("to")).select("n", "left", "to.src", "to.l", "to.need")
 
 
-def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(uid, line, n_lines): deleted lines; n_lines: the longest interval known to hold a copy that begins there (0: none begins).
+def longest(all_lines: DataFrame) -> DataFrame:
+    """(n, n_lines, src) of every suffix that begins with a later copy: its longest, and its source."""
+    first = all_lines.groupBy("id").agg(F.count("*").alias("k"), F.min("n").alias("name")).where("k > 1").select("id", "name")
+    level = all_lines.select("n", "left", "id").join(first, "id").select("n", "left", "name").checkpoint()
+    levels = [level]
+    while not level.isEmpty():
+        level = double(level, 1 << (len(levels) - 1)).checkpoint()
+        levels.append(level)
+    state = None
+    for i in reversed(range(len(levels) - 1)):
+        own = branching(levels[i], levels[i + 1] if i + 2 < len(levels) else None, 1 << i)
+        state = own if state is None else descend(state, levels[i], 1 << i).unionByName(own)
+        state = state.checkpoint()
+    state = branching(level, None, 1) if state is None else state
+    return state.where("need").select("n", F.col("l").alias("n_lines"), "src")
+
+
+def runs(all_lines: DataFrame) -> DataFrame:
+    """(n, uid, line, n_lines, n_chars, source_doc_id): the maximal runs that are later copies."""
+    found = longest(all_lines).withColumn("end", F.col("n") + F.col("n_lines"))
+    inside = found.select((F.col("n") + 1).alias("n"), "end")  # what ends with the run one line before
+    maximal = found.join(inside, ["n", "end"], "left_anti")
+    marks = F.array(*[F.struct(F.lit(k).alias("kind"), at.alias("at")) for k, at in enumerate((F.col("n"), F.col("end") - 1, F.col("src")))])
+    asked = maximal.select("n", "n_lines", F.explode(marks).alias("mark")).select("n", "n_lines", "mark.kind", "mark.at")
+    met = asked.join(all_lines.select(F.col("n").alias("at"), "uid", "doc_id", "line", "chars", "ahead"), "at")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.expr(c)))
+    return met.groupBy("n", "n_lines").agg(of(0, "uid").alias("uid"), of(0, "line").alias("line"), (of(1, "ahead + chars") - of(0, "ahead")).alias("n_chars"), of(2, "doc_id").alias("source_doc_id"))
+
+
+def copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(uid, line) of deleted lines, and the maximal runs they lie in.
 
     docs: (doc_id, uid, text).
     """
     if min_lines < 1:
         raise ValueError("min_lines >= 1")
-    all_lines = lines(docs).checkpoint()
-    keyed = with_order(all_lines)
-    level = keyed.join(first_ranks(keyed), "id").select("uid", "pos", "key", "rank", (F.col("key") != F.col("first")).alias("later")).checkpoint()
-    h, found = 1, []
-    while not level.isEmpty():
-        if h >= min_lines:
-            found.append(level.where("later").select("uid", "pos", F.lit(h).alias("h")))
-        step = h if h >= min_lines else min(h, min_lines - h)
-        level = double(level, level, step).checkpoint()
-        h += step
-    if not found:
-        return all_lines.select("uid", "line", F.lit(0).alias("n_lines")).where("false")
-    marks = found[0]
-    for f in found[1:]:
-        marks = marks.union(f)
-    marks = marks.groupBy("uid", "pos").agg(F.max("h").alias("h"))
-    # a line is deleted if a copy that begins at or before it reaches it
-    reach = F.max(F.col("pos") + F.col("h")).over(Window.partitionBy("uid").orderBy("pos"))
-    own = all_lines.select("uid", "pos", "line").join(marks.select("uid").distinct(), "uid", "left_semi")
-    return own.join(marks, ["uid", "pos"], "left").withColumn("reach", reach).where("reach > pos").select("uid", "line", F.coalesce("h", F.lit(0)).alias("n_lines"))
-
-
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
-    """All rows and columns of docs, later copies of runs cut out of the text, and the number of removed lines in a column named ``removed``."""
+    all_lines = numbered(lines(docs))
+    found = runs(all_lines).where((F.col("n_lines") >= min_lines) & (F.col("n_chars") >= min_chars)).checkpoint()
+    # a line is deleted if a run that begins at or before it reaches it
+    reach = F.max(F.col("n") + F.col("n_lines")).over(Window.partitionBy("uid").orderBy("n"))
+    own = all_lines.select("uid", "n", "line").join(found.select("uid").distinct(), "uid", "left_semi")
+    gone = own.join(found.select("n", "n_lines"), "n", "left").withColumn("reach", reach).where("reach > n").select("uid", "line")
+    return gone, found
+
+
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", removed: str = "n_removed", min_chars: int = MIN_CHARS, with_runs: bool = False) -> DataFrame:
+    """All rows and columns of docs, later copies of runs cut out of the text, and the number of removed lines in a column named ``removed``.
+
+    with_runs: also run_starts (line numbers from 0), run_lengths (lines that aren't blank) and run_sources (doc_id of the first copy)
+    of the maximal runs that were cut.
+    """
     common.prepare(docs.sparkSession)
+    names = ["run_starts", "run_lengths", "run_sources"] if with_runs else []
+    columns = [c for c in docs.columns if c != removed and c not in names]
     slim = common.reduced_scan(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    gone = copies(slim.withColumn("uid", F.xxhash64("doc_id", "text")), min_lines).groupBy("uid").agg(F.collect_list("line").alias("gone")).toDF("__uid", "__gone").checkpoint()
+    gone, maximal = copies(slim.withColumn("uid", F.xxhash64("doc_id", "text")), min_lines, min_chars)
+    # a mask of the text's lines up to the last removed one, so that a line is looked up in constant time
+    gap = F.col("line") - F.coalesce(F.lag("line").over(Window.partitionBy("uid").orderBy("line")) + 1, F.lit(0))
+    mask = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "gap"))), lambda x: F.concat(F.array_repeat(F.lit(False), x["gap"]), F.array(F.lit(True)))))
+    side = gone.withColumn("gap", gap).groupBy("uid").agg(mask.alias("__gone"), F.count("*").alias("__n"))
+    if with_runs:
+        each = F.array_sort(F.collect_list(F.struct("line", F.col("n_lines").cast("bigint").alias("n_lines"), "source_doc_id")))
+        side = side.join(maximal.groupBy("uid").agg(each.alias("__runs")), "uid")
+    side = common.sized(side.withColumnRenamed("uid", "__uid").checkpoint())
     uid = F.xxhash64(docs[f"`{doc_id}`"].cast("bigint"), docs[f"`{text}`"])
-    side = common.sized(gone)
     out = side["__gone"]
     joined = docs.join(side, (uid == side["__uid"]) & docs[f"`{doc_id}`"].isNotNull(), "left")
-    kept = F.filter(F.split(docs[f"`{text}`"], "\n", -1), lambda x, i: ~F.array_contains(out, i))
+    kept = F.filter(F.split(docs[f"`{text}`"], "\n", -1), lambda x, i: ~F.coalesce(F.get(out, i), F.lit(False)))
     cut = F.when(out.isNull(), docs[f"`{text}`"]).otherwise(F.array_join(kept, "\n"))
-    columns = [cut.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns if c != removed]
-    return joined.select(*columns, F.coalesce(F.size(out), F.lit(0)).cast("bigint").alias(removed))
+    more = []
+    if with_runs:
+        parts = [side["__runs"][f].cast("array<bigint>") for f in ("line", "n_lines", "source_doc_id")]
+        more = [F.coalesce(p, F.array().cast("array<bigint>")).alias(name) for p, name in zip(parts, names)]
+    return joined.select(*[cut.alias(c) if c == text else docs[f"`{c}`"] for c in columns], F.coalesce(side["__n"], F.lit(0)).cast("bigint").alias(removed), *more)
 
 
-ORACLE_SQL = r"""
-with line as (
+#: Runs grow by one line at a time here: a group is all suffixes that begin with the same h lines, named by its first.
+ORACLE_SQL = rf"""
+with recursive line as (
   select doc_id, i, l, trim(l, e' \t\r\v\f') as t from (
-    select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as l from (select doc_id, string_split(text, chr(10)) as a from documents)
+    select doc_id, unnest(range(0, len(a))) as i, unnest(a) as l from (select doc_id, string_split(text, chr(10)) as a from documents)
   )
 ), seq as (
-  select doc_id, i, t, row_number() over (partition by doc_id order by i) as pos from line where t <> ''
-), two as (
-  select doc_id, i, pos, t, lead(t) over (partition by doc_id order by pos) as u from seq
-), win as (
-  select doc_id, pos, row_number() over (partition by t, u order by doc_id, pos) as copy from two where u is not null
+  select *, row_number() over (order by doc_id, pos) as s from (
+    select doc_id, i, t, length(t) as n, row_number() over (partition by doc_id order by i) as pos from line where t <> ''
+  )
+), grown as (
+  select * from (select 1 as h, doc_id, pos, s, min(s) over (partition by t) as g, count(*) over (partition by t) as k from seq) where k > 1
+  union all
+  select * from (
+    select r.h + 1 as h, r.doc_id, r.pos, r.s, min(r.s) over (partition by r.g, x.t) as g, count(*) over (partition by r.g, x.t) as k
+    from grown r join seq x on x.doc_id = r.doc_id and x.pos = r.pos + r.h
+  ) where k > 1
+), longest as (
+  select doc_id, pos, s, max(h) as n_lines, arg_max(g, h) as g from grown where g <> s group by doc_id, pos, s
+), maximal as (
+  select * from (select *, coalesce(lag(pos) over o = pos - 1 and lag(pos + n_lines) over o = pos + n_lines, false) as inside from longest window o as (partition by doc_id order by pos)) where not inside
+), run as (
+  select m.doc_id, m.pos, m.n_lines, min(x.i) as start, any_value(src.doc_id) as source
+  from maximal m join seq x on x.doc_id = m.doc_id and x.pos between m.pos and m.pos + m.n_lines - 1 join seq src on src.s = m.g
+  group by m.doc_id, m.pos, m.n_lines having sum(x.n) >= {MIN_CHARS} and m.n_lines >= {MIN_LINES}
 ), gone as (
-  select distinct s.doc_id, s.i from win w join seq s on s.doc_id = w.doc_id and s.pos in (w.pos, w.pos + 1) where w.copy > 1
+  select distinct x.doc_id, x.i from run r join seq x on x.doc_id = r.doc_id and x.pos between r.pos and r.pos + r.n_lines - 1
 ), kept as (
   select l.doc_id, string_agg(case when g.i is null then l.l end, chr(10) order by l.i) as text, count(g.i) as n_removed
   from line l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id
+), cut as (
+  select doc_id, list(start order by start) as run_starts, list(cast(n_lines as bigint) order by start) as run_lengths, list(source order by start) as run_sources from run group by doc_id
 )
-select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text, coalesce(k.n_removed, 0) as n_removed
-from documents d left join kept k on d.doc_id = k.doc_id
+select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text, coalesce(k.n_removed, 0) as n_removed,
+       coalesce(run_starts, []) as run_starts, coalesce(run_lengths, []) as run_lengths, coalesce(run_sources, []) as run_sources
+from documents d left join kept k on d.doc_id = k.doc_id left join cut c on d.doc_id = c.doc_id
 """

@@ -20,7 +20,9 @@ def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+    """The documents without later copies of runs, and the maximal runs that were cut."""
+    found = linededup.dedup(common.table(spark, sf_dir, "documents"), with_runs=True)
+    return found.select("doc_id", "text", "n_removed", "run_starts", "run_lengths", "run_sources")
 
 
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,25 +58,48 @@ def test_jaccard_groups_equal_all_pairs(make):
         assert {r["group_id"]: r["doc_ids"] for r in jaccard.grouped(make(list(enumerate(texts))), orders=orders).collect()} == got
 
 
-def brute_lines(docs, m):
-    """Deleted line numbers: a later copy of m lines, wherever it stands."""
+def brute_runs(docs, m, chars):
+    """(start, lines, source) of the maximal runs of each document that occur earlier, and the texts without them: by comparing every window."""
     seqs = {i: [(n, line.strip()) for n, line in enumerate(t.split("\n")) if line.strip()] for i, t in docs}
-    seen, gone = set(), defaultdict(set)
+    first = {}
     for i, s in sorted(seqs.items()):
-        for p in range(len(s) - m + 1):
-            key = tuple(x for _, x in s[p : p + m])
-            if key in seen:
-                gone[i] |= {n for n, _ in s[p : p + m]}
-            seen.add(key)
-    return {i: "\n".join(line for n, line in enumerate(t.split("\n")) if n not in gone[i]) for i, t in docs}
+        for p in range(len(s)):
+            for q in range(p + 1, len(s) + 1):
+                first.setdefault(tuple(x for _, x in s[p:q]), (i, p))
+    runs, left = {}, {}
+    for i, t in docs:
+        s, found, before = seqs[i], [], 0
+        for p in range(len(s)):
+            end = max((q for q in range(p + 1, len(s) + 1) if first[tuple(x for _, x in s[p:q])] != (i, p)), default=0)
+            if end > before and end - p >= m and sum(len(x) for _, x in s[p:end]) >= chars:
+                found.append((s[p][0], end - p, first[tuple(x for _, x in s[p:end])][0], range(p, end)))
+            before = max(before, end)
+        gone = {s[p][0] for *_, inside in found for p in inside}
+        runs[i] = [f[:3] for f in found]
+        left[i] = "\n".join(line for n, line in enumerate(t.split("\n")) if n not in gone)
+    return runs, left
+
+
+def brute_lines(docs, m, chars=0):
+    return brute_runs(docs, m, chars)[1]
 
 
-@pytest.mark.parametrize("m", [1, 2, 3])
-def test_line_dedup(make, m):
+@pytest.mark.parametrize("m, chars", [(1, 0), (2, 0), (3, 0), (1, 4), (2, 5)])
+def test_line_dedup(make, m, chars):
     r = random.Random(m)
     docs = [(i, "\n".join(r.choice(["a", "b", " b ", "c", "", f"u{i}"]) for _ in range(r.randrange(0, 25)))) for i in range(40)]
-    got = {x["doc_id"]: x["text"] for x in linededup.dedup(make(docs), m).collect()}
-    assert got == brute_lines(docs, m)
+    rows = linededup.dedup(make(docs), m, min_chars=chars, with_runs=True).collect()
+    runs, left = brute_runs(docs, m, chars)
+    assert {x["doc_id"]: x["text"] for x in rows} == left
+    assert {x["doc_id"]: list(zip(x["run_starts"], x["run_lengths"], x["run_sources"])) for x in rows} == runs
+
+
+def test_a_run_is_judged_as_a_whole(make):
+    """Two runs of two lines that overlap make no run of three; a rule on the whole run tells them apart."""
+    docs = [(1, "aaaa\nbbbb"), (2, "bbbb\ncccc"), (3, "aaaa\nbbbb\ncccc"), (4, "x\naaaa\nbbbb\ncccc\ny")]
+    rows = {r["doc_id"]: r for r in linededup.dedup(make(docs), min_chars=12, with_runs=True).collect()}
+    assert rows[3]["text"] == docs[2][1] and rows[3]["run_starts"] == []
+    assert rows[4]["text"] == "x\ny" and (rows[4]["run_starts"], rows[4]["run_lengths"], rows[4]["run_sources"]) == ([1], [3], [3])
 
 
 def test_debruijn_spans(make):

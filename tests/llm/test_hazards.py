@@ -19,7 +19,7 @@ def labels_of(spark, rows):
 
 
 def test_line_dedup(hazards):
-    out = linededup.dedup(hazards)
+    out = linededup.dedup(hazards, min_lines=2, min_chars=0)
     assert out.columns == [c for c in hazards.columns if c != "n_removed"] + ["n_removed"]
     rows = out.collect()
     assert len(rows) == hazards.count()
@@ -31,6 +31,9 @@ def test_line_dedup(hazards):
     assert sorted(n for _, n in by[None]) == [0, 0] and (None, 0) in by[4] and by[5] == [("", 0)]
     assert by[9][0][1] == 0 and by[10][0][1] == 506
     assert by[-12][0] == ("Ünïcode ßtraße 日本語\n\nline", 3)  # line, line occurs three times, overlapping
+    by = {r["doc_id"]: r for r in linededup.dedup(hazards, with_runs=True).collect()}
+    assert by[-12]["n_removed"] == 0 and by[8]["n_removed"] == 0  # short lines stay
+    assert by[10]["run_starts"] == [0, 500] and by[10]["run_lengths"] == [500, 6] and by[10]["run_sources"] == [9, 1] and by[4]["run_starts"] == []
 
 
 def test_jaccard_groups(hazards):
@@ -106,5 +109,7 @@ def test_pages_with_nulls_and_repeats(spark):
     out = {r["record_id"]: (r["status"], r["payload"] and r["payload"].decode()) for r in warc.reassemble(warc.from_pages(pages)).collect()}
     assert {k: v[0] for k, v in out.items()} == {f"<urn:page:{i}>": "ok" for i in (1, 2, 3, 4)} and out["<urn:page:4>"][1] == "é" * 300_000
     assert html.main_text(pages).count() == 6
+    deep = "<b>" * 350_000
+    assert html.main_text(spark.createDataFrame([(1, "u", deep), (2, "u", "<p " * 350_000), (3, "u", "<div>" * 2000 + "<p>" + "word, " * 20 + "</p>")], "page_id bigint, url string, html string")).count() == 3
     media = isomedia.media_columns(isomedia.from_pages(pages)).collect()
     assert len(media) == 6 and all(r["status"] == "ok" for r in media)

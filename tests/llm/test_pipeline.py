@@ -41,7 +41,7 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
     model = toxicity.train(docs, common.table(spark, SF, "labels"))
     toxic = {r["doc_id"] for r in toxicity.toxic_documents(docs, model).collect()}
     left = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in toxic]
-    cut = brute_lines(left, linededup.MIN_LINES)
+    cut = brute_lines(left, linededup.MIN_LINES, linededup.MIN_CHARS)
     left = [(i, cut[i]) for i, t in left if cut[i] == t or cut[i].strip()]
     kept = spark.createDataFrame(left, "doc_id bigint, text string")
     gone = {i for r in jaccard.grouped(kept).collect() for i in r["doc_ids"] if i != r["group_id"]}  # itself held against all pairs elsewhere

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections import defaultdict
@@ -10,12 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "bucket int, payload binary"
-#: A side is broadcast up to so many rows; beyond it the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast up to so many bytes; beyond it the same join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def root() -> str:
@@ -23,16 +24,21 @@ def root() -> str:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Workers find this package; a checkpoint folder is set only where none is (tests, one machine)."""
-    env = spark.sparkContext.environment
-    if root() not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root(), env.get("PYTHONPATH", "")) if x)
+    """A checkpoint folder from the session's settings; one of its own only in tests on one machine, where none is set.
+
+    On one machine workers find this package by its path; a cluster gets it by --py-files or its images.
+    """
+    if spark.sparkContext.master.startswith("local"):
+        env = spark.sparkContext.environment
+        if root() not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (root(), env.get("PYTHONPATH", "")) if x)
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and spark.sparkContext.master.startswith("local["):
+        if not folder and re.match(r"local(\[|$)", spark.sparkContext.master):
             folder = tempfile.mkdtemp(prefix="tarnflow-checkpoint-")
-        if folder:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return spark
 
 
@@ -46,7 +52,7 @@ def partitions(df: DataFrame) -> int:
 
 
 def buckets(df: DataFrame, per_partition: float = 2) -> int:
-    return min(65536, max(4, int(per_partition * partitions(df))))
+    return min(1 << 20, max(4, int(per_partition * partitions(df))))
 
 
 def release() -> None:
@@ -146,10 +152,22 @@ def join_ids(left: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return left.join(side, left[f"`{key}`"] == side["__id"], how)
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if it has few rows.  df should be cheap to count (a checkpoint or table)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def width(column: str, kind: str):
+    """Bytes of a value, about."""
+    c = F.col(f"`{column}`")
+    if kind in ("string", "binary"):
+        return F.octet_length(c) + 16
+    if kind.startswith("array"):
+        return 9 * F.size(c) + 24
+    return F.lit(8)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if all of it takes few bytes.  df should be cheap to read (a checkpoint or table)."""
+    each = F.lit(8)
+    for name, kind in df.dtypes:
+        each = each + F.coalesce(width(name, kind), F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -175,10 +193,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def null_as_empty(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, or a longer one that df doesn't have."""
     while name in df.columns:
@@ -188,7 +202,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again."""
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.parquet(folder)
+    out = spark.read.parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more."""
+    folder = df.__dict__.get("stored_in")
+    if folder:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -50,8 +50,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return z
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
-    """(first row, rows, texts) of consecutive slices of about ``limit`` bytes; a longer text stands alone."""
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, most: int = 60_000) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, rows, texts) of consecutive slices of about ``limit`` bytes and at most ``most`` rows; a longer text stands alone."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
     if col.null_count:
         col = pc.fill_null(col, "")
@@ -61,7 +61,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     first = 0
     while first < len(col):
         last = max(first + 1, int(np.searchsorted(off, off[first] + limit, side="right")) - 1)
-        last = min(last, first + 60_000, len(col))
+        last = min(last, first + most, len(col))
         yield first, last - first, col.slice(first, last - first)
         first = last
 

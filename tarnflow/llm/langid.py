@@ -4,13 +4,14 @@ A text is the normalised TF-IDF vector of its hashed 2- and 3-grams of bytes (le
 lower case, everything else a space).  Inverse document frequencies come from all documents.
 Each language has several centroids, found by spherical k-means on a bounded sample of
 labelled rows (``SAMPLE`` texts per language, those with the least hash of the id), since one
-language may hold several kinds of text.  The nearest centroid by cosine gives the language;
+language may hold several kinds of text; a task fits a language, and the driver gets centroids only.  The nearest centroid by cosine gives the language;
 a text farther from it than ``MARGIN`` times the distance of nearly all training texts of
 that centroid, or without letters, is rejected: its language is 'und'.
 
 Defined cases: null, empty and letterless texts are 'und' with score 0; a null label is no
 label; every row has one result row, repeated rows included; without labels all is 'und';
-of equally near centroids the first (languages in order) counts.
+of equally near centroids the first (languages in order) counts; an id of several rows
+is in the sample once, with its least text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from . import common, kernel
 DIMS_BITS = 12
 DIMS = 1 << DIMS_BITS
 SAMPLE, CENTROIDS, ROUNDS, QUANTILE, MARGIN = 400, 4, 12, 0.99, 1.3
+#: Rows whose vectors are made at once; it bounds memory only.
+ROWS = 500
 
 
 def counts(col: pa.Array) -> np.ndarray:
@@ -95,27 +98,17 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(texts: list[str], langs: list[str], idf: np.ndarray, k: int = CENTROIDS) -> Model:
-    model = Model(idf, sorted(set(langs)), np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    cents, owner, floor = [], [], []
-    for i, lang in enumerate(model.languages):
-        own = [t for t, x in zip(texts, langs) if x == lang]
-        x = np.concatenate([model.vectors(pa.array(own[j : j + 200], pa.large_string())) for j in range(0, len(own), 200)])
-        x = x[(x > 0).any(axis=1)]
-        if not len(x):
-            continue
-        c = cluster(x, k)
-        near = x @ c.T
-        at = near.argmax(axis=1)
-        for j in range(len(c)):
-            if (at == j).any():
-                reach = float(np.quantile(1 - near[at == j, j], QUANTILE))
-                cents.append(c[j])
-                owner.append(i)
-                floor.append(1 - min(0.95, max(MARGIN * reach, 0.3)))
-    if cents:
-        model.centroids, model.owner, model.floor = np.stack(cents).astype(np.float32), np.array(owner), np.array(floor)
-    return model
+def fit(x: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of a language's vectors, and the least cosine that each accepts."""
+    x = x[(x > 0).any(axis=1)]
+    if not len(x):
+        return np.zeros((0, DIMS), np.float32), np.zeros(0)
+    c = cluster(x, k)
+    near = x @ c.T
+    at = near.argmax(axis=1)
+    used = [j for j in range(len(c)) if (at == j).any()]
+    reach = [float(np.quantile(1 - near[at == j, j], QUANTILE)) for j in used]
+    return c[used].astype(np.float32), np.array([1 - min(0.95, max(MARGIN * r, 0.3)) for r in reach])
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -123,17 +116,46 @@ def train(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", t
     docs = common.reduced_scan(docs, doc_id=doc_id, text=text, lang=lang)
 
     def add(b: pa.RecordBatch, total: np.ndarray) -> None:
-        for _, rows, col in kernel.text_slices(b, "text"):
+        for _, rows, col in kernel.text_slices(b, "text", most=ROWS):
             total[:DIMS] += (counts(col) > 0).sum(axis=0)
             total[DIMS] += rows
 
     seen = common.corpus_counts(docs, ["text"], add, 2 * DIMS)
     idf = (np.log((seen[DIMS] + 1) / (seen[:DIMS] + 1)) + 0.05).astype(np.float32)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").distinct()
-    rows = docs.where("lang is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["lang"][i], rows["doc_id"][i]))
-    return fit([rows["text"][i] or "" for i in order], [rows["lang"][i] for i in order], idf)
+    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", F.col("lang").alias("of"))
+    chosen = common.sized(ids.toDF("__id", "of").checkpoint())
+    rows = docs.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("of"))).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0))
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            c, floor = fit(np.concatenate(held))
+            return common.batch(lang=pa.array([now], pa.string()), centroids=pa.array([c.tobytes()], pa.binary()), floor=pa.array([floor.tobytes()], pa.binary()))
+
+        for b in batches:
+            langs = b.column(0).to_pylist()
+            for first, n, col in kernel.text_slices(b, "text", most=ROWS):
+                x = blank.vectors(col)
+                for i in range(n):
+                    if langs[first + i] != now:
+                        if held:
+                            yield done()
+                        now, held = langs[first + i], []
+                    held.append(x[i : i + 1])
+        if held:
+            yield done()
+
+    found = rows.repartition("lang").sortWithinPartitions("lang", "doc_id").mapInArrow(common.lean(run), "lang string, centroids binary, floor binary").collect()
+    found.sort(key=lambda r: r["lang"])
+    cents = [np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS) for r in found]
+    model = Model(idf, [r["lang"] for r in found], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0))
+    if found:
+        model.centroids, model.owner = np.concatenate(cents), np.repeat(np.arange(len(found)), [len(c) for c in cents])
+        model.floor = np.concatenate([np.frombuffer(r["floor"], np.float64) for r in found])
+    return model
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,7 +166,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         model = shared.value
         names = np.array([*model.languages, "und"], dtype=object)
         for b in batches:
-            for first, rows, col in kernel.text_slices(b, "text"):
+            for first, rows, col in kernel.text_slices(b, "text", most=ROWS):
                 lang, cosine = model.classify(col)
                 yield common.batch(doc_id=b.column(0).slice(first, rows), language=pa.array(names[lang], pa.string()), cosine=cosine)
 

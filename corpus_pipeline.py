@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns
 a DataFrame; all but the last return the columns of documents.  ``run`` writes each stage's
 result as Parquet in the shared folder and reads it again for the next one, so that a lost
-executor costs no more than the stage at work.
+executor costs no more than the stage at work; what a stage has read is deleted when the next
+one's result stands.
+
+Defined cases: rows of null ids pass all stages but those that look at their text alone
+(toxicity) and are packed first; null, empty and blank texts that were so before stay, and
+are packed with length 1; repeated rows share their fate, but of a group of similar documents
+all rows of the least id stay; an empty table gives an empty result; without labels nothing
+is toxic, without benchmark items nothing is contaminated; columns of any further name are kept.
 """
 
 from __future__ import annotations
@@ -57,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir))
+        common.discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ from .sources.standins import G_SQL, SS_SQL
 from .streaming import samples
 
 Query = Callable[[SparkSession, str], DataFrame]
-K, SEED, EVERY = 1000, 42, 97
+K, SEED = 1000, 42
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -86,18 +86,6 @@ def sized(spec: JoinSpec, root: str | None = None) -> DataFrame:
 
 for _k in (2, 3, 4, 5):
     add(f"line{_k}_count", lambda s, d, k=_k: sized(named.line(S.edges(s, d), k), f"g{(k + 1) // 2}"), f"with {G_SQL}, {line_sql(_k)} select count(*) as join_size from j")
-for _k in (3, 4):
-    add(f"line{_k}_sample", lambda s, d, k=_k: sampling.swor(line_results(s, d, k), line_columns(k)[1], K, SEED), f"with {G_SQL}, {line_sql(_k)} select * from j {best(line_columns(_k)[1])}")
-for _k in (4, 5, 6, 7):
-    add(f"star{_k}_count", lambda s, d, k=_k: sized(named.star(S.edges(s, d), k)), f"with {G_SQL}, n as (select src, count(*) as k from g group by src) select cast(sum(k ** {_k}) as bigint) as join_size from n" if _k > 5 else f"with {G_SQL}, {star_sql(_k)} select count(*) as join_size from j")
-
-
-def star4_sample(spark: SparkSession, d: str) -> DataFrame:
-    n = int(counting.size(named.star(S.edges(spark, d), 4)).first()[0])
-    return sampling.swor(star_results(spark, d, 4), list(LETTERS[:5]), K, SEED, n)
-
-
-add("star4_sample", star4_sample, f"with {G_SQL}, {star_sql(4)} select * from j {best(list(LETTERS[:5]))}")
 
 
 def drawn_sql(total: str, k: int = K, seed: int = SEED) -> str:
@@ -108,15 +96,41 @@ def drawn_sql(total: str, k: int = K, seed: int = SEED) -> str:
     )
 
 
-def star5_access_sample(spark: SparkSession, d: str) -> DataFrame:
-    found = access.sample(named.star(S.edges(spark, d), 5), K, SEED)
-    return found.select("g1__src", *[f"g{i}__dst" for i in range(1, 6)]).toDF(*LETTERS[:6])
+def ranked_sql(order: list[str], columns: list[str]) -> str:
+    """The picked results of j in an order; it ranks the whole join, which the queries never make."""
+    return f"{drawn_sql('select count(*) from j')}, r as (select *, row_number() over (order by {', '.join(order)}) - 1 as position from j) select {', '.join(columns)} from r join pick using (position)"
 
 
-add(
-    "star5_access_sample", star5_access_sample,
-    f"with {G_SQL}, {star_sql(5)}, {drawn_sql('select count(*) from j')}, ranked as (select *, row_number() over (order by A, B, C, D, E, F) - 1 as position from j) select A, B, C, D, E, F from ranked join pick using (position)",
-)
+def line_sample(spark: SparkSession, d: str, k: int) -> DataFrame:
+    columns, letters = line_columns(k)
+    return access.sample(named.line(S.edges(spark, d), k), K, SEED).select(*columns).toDF(*letters)
+
+
+for _k in (3, 4):
+    add(f"line{_k}_sample", lambda s, d, k=_k: line_sample(s, d, k), f"with {G_SQL}, {line_sql(_k)}, {ranked_sql(line_columns(_k)[1], line_columns(_k)[1])}")
+for _k in (4, 5, 6, 7):
+    add(f"star{_k}_count", lambda s, d, k=_k: sized(named.star(S.edges(s, d), k)), f"with {G_SQL}, n as (select src, count(*) as k from g group by src) select cast(sum(k ** {_k}) as bigint) as join_size from n" if _k > 4 else f"with {G_SQL}, {star_sql(_k)} select count(*) as join_size from j")
+
+
+def star_sample(spark: SparkSession, d: str, k: int) -> DataFrame:
+    found = access.sample(named.star(S.edges(spark, d), k), K, SEED)
+    return found.select("g1__src", *[f"g{i}__dst" for i in range(1, k + 1)]).toDF(*LETTERS[: k + 1])
+
+
+def star_pick(k: int) -> str:
+    """The results of a source are all rows of k digits to the base of its degree."""
+    digits = ", ".join(f"(r // (deg ** {k - 1 - i})::bigint) % deg as d{i}" for i in range(k))
+    joins = " ".join(f"join e e{i} on e{i}.src = met.src and e{i}.at = met.d{i}" for i in range(k))
+    what = ", ".join(["met.src as A"] + [f"e{i}.dst as {LETTERS[i + 1]}" for i in range(k)])
+    return (
+        f"e as (select src, dst, row_number() over (partition by src order by dst) - 1 as at from g), n as (select src, count(*) as deg from g group by src), "
+        f"placed as (select src, deg, cast(sum(deg ** {k}) over (order by src rows unbounded preceding) - deg ** {k} as bigint) as lo from n), {drawn_sql(f'select cast(sum(deg ** {k}) as bigint) from n')}, "
+        f"met as (select src, deg, r, {digits} from (select placed.*, pick.position - lo as r from pick asof join placed on pick.position >= placed.lo)) select {what} from met {joins}"
+    )
+
+
+for _k in (4, 5, 6):
+    add(f"star{_k}_sample", lambda s, d, k=_k: star_sample(s, d, k), f"with {G_SQL}, {star_pick(_k)}")
 
 
 # ---- direct access, deltas, bounds
@@ -126,12 +140,13 @@ def every(spark: SparkSession, n: int, step: int) -> DataFrame:
     return spark.range(0, n, step).toDF("position")
 
 
-def line3_access(spark: SparkSession, d: str) -> DataFrame:
-    a = access.Access(named.line(S.edges(spark, d), 3))
-    return a.at(every(spark, a.size, EVERY)).select("position", *line_columns(3)[0]).toDF("position", *line_columns(3)[1])
+def line2_access(spark: SparkSession, d: str) -> DataFrame:
+    """Every result of Line-2 by its position."""
+    a = access.Access(named.line(S.edges(spark, d), 2))
+    return a.at(every(spark, a.size, 1)).select("position", *line_columns(2)[0]).toDF("position", *line_columns(2)[1])
 
 
-add("line3_access", line3_access, f"with {G_SQL}, {line_sql(3)}, r as (select *, row_number() over (order by A, B, C, D) - 1 as position from j) select position, A, B, C, D from r where position % {EVERY} = 0")
+add("line2_access", line2_access, f"with {G_SQL}, {line_sql(2)} select row_number() over (order by A, B, C) - 1 as position, A, B, C from j")
 
 
 def swr_line3(spark: SparkSession, d: str) -> DataFrame:
@@ -209,16 +224,11 @@ QX_SQL = (
     " from ss join ss as sr on " + " and ".join(f"ss.{c} = sr.{c}" for c in SALE) + " join orders on sr.ss_customer_sk = o_custkey where sr.l_returnflag = 'R')"
 )
 add("qx_count", lambda s, d: sized(S.qx(s, d), "sr"), f"with {QX_SQL} select count(*) as join_size from j")
-add("qx_sample", lambda s, d: sampling.swor(S.qx(s, d).results("sr", QX_COLUMNS).toDF(*QX_NAMES), QX_IDS, K, SEED), f"with {QX_SQL} select * from j {best(QX_IDS)}")
-
-
-def collapsed_results(spec: JoinSpec, columns: list[str], root: str | None = None) -> DataFrame:
-    merged = collapse.collapse(spec)
-    home = {c: f"{n}__{c}" for n, r in merged.relations.items() for c in r.df.columns}
-    return merged.results(root, [home[c] if c in home else c for c in columns])
+QX_PICK = f"with {QX_SQL}, {ranked_sql(QX_IDS, QX_NAMES)}"
+add("qx_sample", lambda s, d: access.sample(S.qx(s, d), K, SEED, "sr").select(*QX_COLUMNS).toDF(*QX_NAMES), QX_PICK)
 
 
-add("qx_fk_sample", lambda s, d: sampling.swor(collapsed_results(S.qx(s, d), QX_COLUMNS).toDF(*QX_NAMES), QX_IDS, K, SEED), f"with {QX_SQL} select * from j {best(QX_IDS)}")
+add("qx_fk_sample", lambda s, d: collapse.rename_ids(access.sample(collapse.collapse(S.qx(s, d)), K, SEED)).select(*QX_COLUMNS).toDF(*QX_NAMES), QX_PICK)
 
 # ---- QY and QZ: too large to materialise beyond small inputs, hence by position
 
@@ -283,18 +293,17 @@ Q10_SQL = (
     " from orders join ht h1 on o_orderkey = h1.message_id join part t1 on h1.tag_id = t1.p_partkey join ht h2 on o_orderkey = h2.message_id join part t2 on h2.tag_id = t2.p_partkey join customer c on o_custkey = c.c_custkey"
     " join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join g on c.c_custkey = g.src join customer p2 on g.dst = p2.c_custkey)"
 )
-Q10_PICK = f"with {Q10_SQL} select * from j {best(Q10_NAMES)}"
+Q10_PICK = f"with {Q10_SQL}, {ranked_sql(['message', 'tag1', 'tag2', 'person2'], Q10_NAMES)}"
 
 
-def q10_sample(spec: JoinSpec, root: str | None = None) -> DataFrame:
-    home = {c: f"{n}__{c}" for n, r in spec.relations.items() for c in r.df.columns}
-    return sampling.swor(spec.results(root, [home.get(c, c) for c in Q10_COLUMNS]).toDF(*Q10_NAMES), Q10_NAMES, K, SEED)
+def q10_sample(spec: JoinSpec) -> DataFrame:
+    return collapse.rename_ids(access.sample(spec, K, SEED, "message")).select(*Q10_COLUMNS).toDF(*Q10_NAMES)
 
 
 add("q10_count", lambda s, d: sized(S.q10(s, d)), f"with {Q10_SQL} select count(*) as join_size from j")
-add("q10_sample", lambda s, d: q10_sample(S.q10(s, d), "message"), Q10_PICK)
-add("q10_fk1_sample", lambda s, d: q10_sample(collapse.merge(S.q10(s, d), named.Q10_PLAN1), "message"), Q10_PICK)
-add("q10_fk2_sample", lambda s, d: q10_sample(collapse.merge(S.q10(s, d), named.Q10_PLAN2), "message"), Q10_PICK)
+add("q10_sample", lambda s, d: q10_sample(S.q10(s, d)), Q10_PICK)
+add("q10_fk1_sample", lambda s, d: q10_sample(collapse.merge(S.q10(s, d), named.Q10_PLAN1)), Q10_PICK)
+add("q10_fk2_sample", lambda s, d: q10_sample(collapse.merge(S.q10(s, d), named.Q10_PLAN2)), Q10_PICK)
 
 # ---- predicates, filters, bands
 
@@ -303,7 +312,7 @@ add("edit_distance", lambda s, d: table(s, d, "part").select("p_partkey", edit_d
 PREDICATE_SQL = f"select p_partkey, p_name from part where levenshtein(p_name, '{WORD}') <= {NEAR} order by {prio('p_partkey')}, p_partkey limit 100"
 add("predicate_sample", lambda s, d: sampling.where_late(table(s, d, "part").select("p_partkey", "p_name"), ["p_partkey"], fuzzy_match("p_name", F.lit(WORD), NEAR), 100, SEED), PREDICATE_SQL)
 add("predicate_baseline_sample", lambda s, d: sampling.where_baseline(table(s, d, "part").select("p_partkey", "p_name"), ["p_partkey"], fuzzy_match("p_name", F.lit(WORD), NEAR), 100, SEED), PREDICATE_SQL)
-add("swr_parts", lambda s, d: sampling.swr(table(s, d, "part").select("p_partkey"), ["p_partkey"], 20, SEED).select(F.col("slot").cast("bigint").alias("slot"), "p_partkey"), f"select slot, arg_min(p_partkey, {prio('slot', 'p_partkey')}) as p_partkey from part, range(1, 21) t(slot) group by slot")
+add("swr_parts", lambda s, d: sampling.swr(table(s, d, "part").select("p_partkey"), ["p_partkey"], 20, SEED).select(F.col("slot").cast("bigint").alias("slot"), "p_partkey"), f"with r as (select p_partkey, row_number() over (order by p_partkey) - 1 as position from part) select slot, p_partkey from (select i as slot, cast('0x' || substr(md5(concat_ws('|', '{SEED}', i)), 1, 15) as bigint) % (select count(*) from part) as position from range(1, 21) t(i)) join r using (position)")
 
 
 def filtered_line3_count(spark: SparkSession, d: str) -> DataFrame:
@@ -407,7 +416,7 @@ add("popfront_sample", popfront_sample, f"with {E_SQL}, a as {popped_sql('click'
 def prefix_counts(spark: SparkSession, d: str) -> DataFrame:
     """The size of Line-3 after each tenth of the orders has arrived (by o_orderkey), in one plan: the tenth is part of every key."""
     n = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
-    o = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    o = table(spark, d, "orders")
     g = o.crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919 + 13) % F.col("n")).alias("dst"), "o_orderkey").groupBy("src", "dst").agg(F.min("o_orderkey").alias("seq"))
     marks = windows.checkpoints(o, "o_orderkey", table(spark, d, "orders").count())
     edges = g.join(F.broadcast(marks), F.col("seq") < F.col("upto")).select("part", "src", "dst")
@@ -418,7 +427,7 @@ def prefix_counts(spark: SparkSession, d: str) -> DataFrame:
 
 add(
     "prefix_counts", prefix_counts,
-    "with g as (select o_custkey as src, (o_orderkey * 7919 + 13) % (select count(*) from customer) as dst, min(o_orderkey) as seq from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by all),"
+    "with g as (select o_custkey as src, (o_orderkey * 7919 + 13) % (select count(*) from customer) as dst, min(o_orderkey) as seq from orders group by all),"
     " j as (select greatest(g1.seq, g2.seq, g3.seq) as seq from g g1 join g g2 on g1.dst = g2.src join g g3 on g2.dst = g3.src), m as (select cast(i as integer) as part, cast(ceil(i * (select count(*) from orders) / 10.0) as bigint) as upto from range(1, 11) t(i))"
     " select part, count(*) as join_size from j join m on seq < upto group by part",
 )

@@ -31,16 +31,14 @@ def unit_below(p: float, seed: int | str, *ids: Column | str) -> Column:
 
 
 def draw(seed: int | str, n: int, *ids: Column | str) -> Column:
-    """An integer in [0, n) for each row, uniform up to n / 2^120."""
+    """An integer in [0, n) for each row, uniform up to n / 2^120: a bigint, for n of 2^63 or more a decimal(38,0)."""
+    if n >= 1 << 116:
+        raise ValueError("n must be below 2^116")
     h = priority(seed, *ids)
-    hi, lo = (F.conv(F.substring(h, at, HEX), 16, 10).cast("decimal(38,0)") for at in (1, HEX + 1))
+    hi, lo = (F.conv(F.substring(h, at, HEX), 16, 10).cast("decimal(19,0)") for at in (1, HEX + 1))
     big = F.lit(str(n)).cast("decimal(38,0)")
-    if n >= 1 << 60:
-        # (hi * 2^60 + lo) % n without leaving 38 digits
-        if n >= 1 << 62:
-            raise ValueError("n must be below 2^62")
-        part = hi % big
-        for _ in range(2):
-            part = (part * F.lit(str(1 << 30)).cast("decimal(38,0)")).cast("decimal(38,0)") % big
-        return ((part + lo) % big).cast("bigint")
-    return (hi % big).cast("bigint")
+    if n < 1 << 60:
+        return (hi.cast("decimal(38,0)") % big).cast("bigint")
+    whole = (hi * F.lit(str(1 << 60)).cast("decimal(19,0)")).cast("decimal(38,0)") + lo
+    out = whole.cast("decimal(38,0)") % big
+    return out.cast("bigint") if n < 1 << 63 else out.cast("decimal(38,0)")

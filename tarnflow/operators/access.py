@@ -8,15 +8,21 @@ into one place for each child, and each place is found by an as-of lookup in its
 
 The running sum needs no single task: rows are range-partitioned by the total order, summed
 in each partition, and shifted by what earlier partitions hold; a hot key may span any number
-of partitions.  A lookup meets rows and places in the partition it falls into and takes the
-last row at or before the place.  Costs follow the inputs and the number of positions, never
-the size of the join.
+of partitions.  Every ``BLOCK`` rows of a partition are a block.  A lookup finds a place's
+partition by bisection over one number for each partition, its block among the first rows of that
+partition's blocks, and then joins the block's rows only: relations are neither shuffled nor sorted
+again for a few places.  Costs follow the inputs once, then the number of positions, never the
+size of the join.  Relations that don't hang on each other are prepared at the same time.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,35 +32,60 @@ from ..plans.spec import WEIGHT, JoinSpec, Step
 from . import counting
 
 
-def _running(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """(df with part and before, the sum of weights ahead of each row; parts: part, base, all; the sum of all weights)."""
+#: Rows that a lookup looks through for one place.
+BLOCK = 64
+#: Places up to this number are broadcast to a relation's blocks (rows of a few numbers each); more are joined by shuffle.
+FEW = 50_000
+
+
+def _running(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, list[tuple[int, int]], int]:
+    """(df with part, block and before, the sum of weights ahead of each row; first rows of the blocks; (part, base) by base; the sum of all weights)."""
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = runtime.cut(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
     # a row for each partition comes to the driver, and goes back as constants
     sums = sorted((r["part"], int(r["all"])) for r in placed.groupBy("part").agg(F.sum("weight").alias("all")).collect())
-    base, rows = 0, []
+    base, bases = 0, []
     for part, all_ in sums:
-        rows.append(f"({part}, {base}, {all_})")
+        bases.append((part, base))
         base += all_
-    values = ", ".join(rows) or "(0, 0, 0)"
-    parts = spark.sql(f"select part, cast(base as {WEIGHT}) as base, cast(all as {WEIGHT}) as all from values {values} as t(part, base, all)").where(F.lit(bool(rows)))
-    inner = F.sum("weight").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
-    rows = placed.withColumn("before", inner.cast(WEIGHT)).join(F.broadcast(parts.select("part", "base")), "part")
-    return rows.withColumn("before", (F.col("before") + F.col("base")).cast(WEIGHT)).drop("base"), parts, base
+    values = ", ".join(f"({p}, {b})" for p, b in bases) or "(0, 0)"
+    parts = spark.sql(f"select part, cast(base as {WEIGHT}) as base from values {values} as t(part, base)")
+    window = Window.partitionBy("part").orderBy(*order)
+    inner = F.sum("weight").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
+    block = F.floor((F.row_number().over(window) - 1) / BLOCK).cast("int")
+    rows = placed.select("*", inner.cast(WEIGHT).alias("before"), block.alias("block")).join(F.broadcast(parts), "part")
+    rows = runtime.cut(rows.withColumn("before", (F.col("before") + F.col("base")).cast(WEIGHT)).drop("base"))
+    return rows, rows.groupBy("part", "block").agg(F.min("before").alias("at")), bases, base
+
+
+def _part_of(places: DataFrame, bases: list[tuple[int, int]]) -> DataFrame:
+    """places with the partition that holds at: the last one that begins at or before it."""
+    starts, names = [b for _, b in bases], [p for p, _ in bases]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.schema.get_field_index("at")).to_pylist()
+            part = pa.array([names[bisect_right(starts, int(x)) - 1] for x in at], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, part], [*b.schema.names, "part"])
 
-def _lookup(rows: DataFrame, parts: DataFrame, places: DataFrame, prefix: str) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema)
+    return places.mapInArrow(run, f"{schema}, part int")
+
+
+def _lookup(rows: DataFrame, blocks: DataFrame, bases: list[tuple[int, int]], places: DataFrame, prefix: str) -> DataFrame:
     """places (at, ...) with the row whose interval holds at, its columns under prefix, and ``rest``: at less the row's beginning."""
-    inside = places.join(F.broadcast(parts.toDF("part", "__base", "__all")), (F.col("at") >= F.col("__base")) & (F.col("at") < F.col("__base") + F.col("__all"))).drop("__base", "__all")
-    keep = [c for c in rows.columns if c != "part"]
-    row, ask = F.struct(*keep).alias("row"), F.struct(*[c for c in places.columns]).alias("ask")
-    both = rows.select("part", F.col("before").alias("at"), F.lit(0).alias("kind"), row, F.lit(None).cast(places.select(ask).schema["ask"].dataType).alias("ask")).unionByName(
-        inside.select("part", "at", F.lit(1).alias("kind"), F.lit(None).cast(rows.select(row).schema["row"].dataType).alias("row"), ask)
-    )
-    last = F.last("row", ignorenulls=True).over(Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = both.withColumn("row", last).where("kind = 1")
-    return found.select("ask.*", *[F.col(f"row.{c}").alias(f"{prefix}{c}") for c in keep]).withColumn("rest", (F.col("at") - F.col(f"{prefix}before")).cast(WEIGHT))
+    asks = _part_of(places, bases)
+    ask = F.struct(*places.columns).alias("ask")
+    kind = asks.select(ask).schema["ask"].dataType
+    both = blocks.select("part", "at", F.lit(0).alias("kind"), "block", F.lit(None).cast(kind).alias("ask")).unionByName(asks.select("part", "at", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("block"), ask))
+    last = F.last("block", ignorenulls=True).over(Window.partitionBy("part").orderBy("at", "kind", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = runtime.cut(both.withColumn("block", last).where("kind = 1").select(F.col("part").alias("__part"), F.col("block").alias("__block"), "ask"))
+    few = met if met.count() > FEW else F.broadcast(met)
+    keep = [c for c in rows.columns if c not in ("part", "block")]
+    inside = (F.col("ask.at") >= F.col("before")) & (F.col("ask.at") < F.col("before") + F.col("weight"))
+    found = rows.join(few, (F.col("part") == F.col("__part")) & (F.col("block") == F.col("__block")) & inside)
+    return found.select("ask.*", *[F.col(c).alias(f"{prefix}{c}") for c in keep]).withColumn("rest", (F.col("at") - F.col(f"{prefix}before")).cast(WEIGHT))
 
 
 class Access:
@@ -67,20 +98,26 @@ class Access:
         runtime.prepare(spec.relations[self.root].df.sparkSession)
         self.steps = spec.tree(self.root)
         self.rows: dict[str, DataFrame] = {}
-        self.parts: dict[str, DataFrame] = {}
+        self.blocks: dict[str, DataFrame] = {}
+        self.bases: dict[str, list[tuple[int, int]]] = {}
         self.keys: dict[str, DataFrame] = {}
         self.size = 0
-        leaves: dict[tuple, str] = {}
-        for s in reversed(self.steps):
-            # the same table in several leaf places is prepared once
-            like = (id(spec.relations[s.node].df), s.mine, spec.relations[s.node].rid, tuple(spec.used(s.node)))
-            if not spec.children(self.steps, s.node) and like in leaves:
-                for kept in (self.rows, self.parts, self.keys):
-                    kept[s.node] = kept[leaves[like]]
-                continue
-            self._prepare(s)
-            if not spec.children(self.steps, s.node):
-                leaves[like] = s.node
+        # the same table in several leaf places is prepared once
+        first: dict[tuple, str] = {}
+        like = {}
+        for s in self.steps:
+            r = spec.relations[s.node]
+            like[s.node] = first.setdefault((s.node,) if spec.children(self.steps, s.node) else (id(r.df), s.mine, r.rid, tuple(spec.used(s.node))), s.node)
+        todo, done = [s for s in self.steps if like[s.node] == s.node], set()
+        with ThreadPoolExecutor(4) as pool:
+            while todo:
+                ready = [s for s in todo if all(like[c.node] in done for c in spec.children(self.steps, s.node))]
+                list(pool.map(self._prepare, ready))
+                done |= {s.node for s in ready}
+                todo = [s for s in todo if s.node not in done]
+                for node, one in like.items():
+                    if one in self.keys:
+                        self.rows[node], self.blocks[node], self.bases[node], self.keys[node] = self.rows[one], self.blocks[one], self.bases[one], self.keys[one]
 
     def _prepare(self, s: Step) -> None:
         df = self.spec.relations[s.node].df.select(*[f"`{c}`" for c in self.spec.used(s.node)])
@@ -94,20 +131,28 @@ class Access:
         for m in s.mine:
             df = df.where(F.col(f"`{m}`").isNotNull())
         order = list(dict.fromkeys([*s.mine, *self.spec.relations[s.node].rid]))
-        self.rows[s.node], self.parts[s.node], self.size = _running(df, order)
-        if s.parent:
+        self.rows[s.node], self.blocks[s.node], self.bases[s.node], size = _running(df, order)
+        if not s.parent:
+            self.size = size
+        else:
             self.keys[s.node] = self.rows[s.node].groupBy(*s.mine).agg(F.min("before").alias("base"), F.sum("weight").cast(WEIGHT).alias("all"))
 
     def at(self, positions: DataFrame, position: str = "position") -> DataFrame:
         """Results at positions (a DataFrame with distinct integers; those outside [0, size) give nothing): position and the ids."""
-        now = positions.select(F.col(position).cast("bigint").alias("position"), F.col(position).cast(WEIGHT).alias("at")).where((F.col("at") >= 0) & (F.col("at") < F.lit(str(self.size)).cast(WEIGHT)))
+        now = positions.select(F.col(position).alias("position"), F.col(position).cast(WEIGHT).alias("at")).where((F.col("at") >= 0) & (F.col("at") < F.lit(str(self.size)).cast(WEIGHT)))
+        if not self.size:
+            return self._nothing(now)
         out = self._descend(self.steps[0], now)
         return out.select("position", *self.spec.ids())
 
+    def _nothing(self, now: DataFrame) -> DataFrame:
+        kinds = {f"{n}__{c}": r.df.schema[c].dataType for n, r in self.spec.relations.items() for c in r.rid}
+        return now.select("position", *[F.lit(None).cast(kinds[c]).alias(c) for c in self.spec.ids()])
+
     def _descend(self, s: Step, now: DataFrame) -> DataFrame:
         """now: (…, at) places in s; returns it with the ids of s and of all below."""
         carried = [c for c in now.columns if c != "at"]
-        found = _lookup(self.rows[s.node], self.parts[s.node], now, "__r_")
+        found = _lookup(self.rows[s.node], self.blocks[s.node], self.bases[s.node], now, "__r_")
         children = self.spec.children(self.steps, s.node)
         ids = [F.col(f"__r_{c}").alias(f"{s.node}__{c}") for c in self.spec.relations[s.node].rid]
         places: list[Column] = []

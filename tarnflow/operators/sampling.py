@@ -42,13 +42,15 @@ def bernoulli(df: DataFrame, ids: list[str], p: float, seed: int | str = 42) ->
 
 
 def swr(df: DataFrame, ids: list[str], k: int, seed: int | str = 42) -> DataFrame:
-    """k independent draws: (slot, columns of df).  For any k rows it costs one pass over k times the rows: for joins, access.draw_with_replacement costs far less."""
+    """k independent draws: (slot, columns of df).  Rows get positions once (by ids, then the other columns), and k of them are looked up."""
     if k < 1:
         raise ValueError("k >= 1")
-    slots = df.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    rank = F.struct(priority(seed, "slot", *ids).alias("p"), *ids)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return slots.groupBy("slot").agg(F.min_by(row, rank).alias("row")).select("slot", "row.*")
+    from ..plans.spec import JoinSpec, Relation
+    from . import access
+
+    columns = [*ids, *[c for c in df.columns if c not in ids]]
+    found = access.sample_with_replacement(JoinSpec({"row": Relation(df, tuple(columns))}, []), k, seed)
+    return found.select("slot", *[F.col(f"row__{c}").alias(c) for c in columns])
 
 
 def where_baseline(df: DataFrame, ids: list[str], predicate: Column, k: int, seed: int | str = 42) -> DataFrame:

@@ -16,8 +16,7 @@ SALE = (("ss_order", "sr_order"), ("ss_line", "sr_line"), ("ss_item_sk", "sr_ite
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst): a graph between customers."""
     n = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
-    o = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    return o.crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919 + 13) % F.col("n")).alias("dst")).distinct()
+    return table(spark, d, "orders").crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919 + 13) % F.col("n")).alias("dst")).distinct()
 
 
 def store_sales(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +78,7 @@ def q10(spark: SparkSession, d: str) -> JoinSpec:
     )
 
 
-G_SQL = "g as (select distinct o_custkey as src, (o_orderkey * 7919 + 13) % (select count(*) from customer) as dst from orders where o_orderpriority in ('1-URGENT', '2-HIGH'))"
+G_SQL = "g as (select distinct o_custkey as src, (o_orderkey * 7919 + 13) % (select count(*) from customer) as dst from orders)"
 
 SS_SQL = (
     "ss as (select l_orderkey as ss_order, l_linenumber as ss_line, l_partkey as ss_item_sk, l_suppkey as ss_supplier, cast(l_quantity as integer) as ss_quantity,"

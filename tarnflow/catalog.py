@@ -283,6 +283,24 @@ add("qz_count", lambda s, d: sized(S.qz(s, d)), QZ_COUNT_SQL)
 add("qz_fk_count", lambda s, d: sized(collapse.collapse(S.qz(s, d))), QZ_COUNT_SQL)
 add("qz_group_count", qz_group_count, QZ_COUNT_SQL)
 add("qz_access", qz_access, f"with {QZ_BASE}, pick as (select i * (({QZ_TOTAL}) // {K}) as position from range({K}) t(i)){QZ_AT} select position, {QZ_ALL} from met{QZ_OUT}")
+QZ_GROUPED = (
+    f"member as (select {', '.join(SALE)}, brand, region, row_number() over (partition by brand, region order by {', '.join(SALE)}) - 1 as at from sale),"
+    f" grp as (select brand, region, any_value(rw) as rw, any_value(w // rw) as bw, count(*) * any_value(w) as gw from sale group by brand, region), {drawn_sql(QZ_TOTAL)},"
+    " placed as (select *, cast(sum(gw) over (order by brand, region rows unbounded preceding) - gw as bigint) as lo from grp),"
+    " met as (select brand, region, bw, rw, pick.position - lo as r from pick asof join placed on pick.position >= placed.lo)"
+    f" select {', '.join('m.' + c for c in SALE)}, i2, hd2, c2 from met join member m on m.brand = met.brand and m.region = met.region and m.at = r // (bw * rw)"
+    " join brand_items b on b.brand = met.brand and b.at = (r // rw) % bw join region_customers c on c.region = met.region and c.at = r % rw"
+)
+
+
+def qz_fk_group_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Sales that agree in category and income band hang on one group, through which the sample goes to them."""
+    grouped = collapse.through_groups(collapse.collapse(S.qz(spark, d)), "ss", ["i1__i_category_id", "hd1__hd_income_band_sk"])
+    return collapse.rename_ids(access.sample(grouped, K, SEED, "group")).select(*QZ_COLUMNS).toDF(*QZ_NAMES)
+
+
+add("qz_fk_sample", lambda s, d: collapse.rename_ids(access.sample(collapse.collapse(S.qz(s, d)), K, SEED)).select(*QZ_COLUMNS).toDF(*QZ_NAMES), QZ_PICK)
+add("qz_fk_group_sample", qz_fk_group_sample, f"with {QZ_BASE}, {QZ_GROUPED}")
 add("qz_sample", lambda s, d: access.sample(S.qz(s, d), K, SEED).select(*QZ_COLUMNS).toDF(*QZ_NAMES), QZ_PICK)
 
 # ---- Q10

@@ -79,6 +79,26 @@ def group(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias(name))
 
 
+def through_groups(spec: JoinSpec, relation: str, keys: list[str], name: str = "group") -> JoinSpec:
+    """The spec with a relation of its own for the distinct keys of ``relation``, between it and the rest.
+
+    Rows that the rest of the join can't tell apart hang on one row of the new relation: weights are multiplied once for each
+    group and not for each row, and a sample goes through the groups to their rows.  keys must hold the columns of all edges of the
+    relation; a row with a null key joins nothing.  The results are the same, with the keys of their group beside.
+    """
+    df = spec.relations[relation].df
+    for e in spec.edges:
+        if relation in (e.left, e.right):
+            own = [a for a, _ in e.on] if e.left == relation else [b for _, b in e.on]
+            if missing := [c for c in own if c not in keys]:
+                raise ValueError(f"keys lack {missing}")
+    groups = Relation(df.select(*[f"`{k}`" for k in keys]).where(" and ".join(f"`{k}` is not null" for k in keys)).distinct(), tuple(keys))
+    edges = [Edge(name, relation, tuple((k, k) for k in keys))]
+    for e in spec.edges:
+        edges.append(Edge(name if e.left == relation else e.left, name if e.right == relation else e.right, e.on, e.band))
+    return JoinSpec({name: groups, **spec.relations}, edges)
+
+
 def rename_ids(df: DataFrame) -> DataFrame:
     """Ids of a merged spec (group__relation__column) under the plain spec's names."""
     return df.toDF(*[c.split("__", 1)[1] if c.count("__") > 1 else c for c in df.columns])

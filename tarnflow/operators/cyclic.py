@@ -39,3 +39,26 @@ def dumbbell(edges: DataFrame, src: str = "src", dst: str = "dst") -> JoinSpec:
         {"bridge": Relation(bridge, ("src", "dst")), "left": Relation(t, ("a", "b", "c")), "right": Relation(right, ("x", "y", "z"))},
         [Edge("bridge", "left", (("src", "a"),)), Edge("bridge", "right", (("dst", "x"),))],
     )
+
+
+def triangles_of(ab: DataFrame, bc: DataFrame, ca: DataFrame) -> DataFrame:
+    """(a, b, c) with (a, b) in the first, (b, c) in the second and (c, a) in the third relation (src, dst each); rows without repeats.
+
+    Each edge (a, b) is extended on the side that has fewer rows for it, which bounds the paths by the number of edges to the power 1.5.
+    """
+    pair = lambda df, x, y: df.select(F.col("src").alias(x), F.col("dst").alias(y)).where(f"{x} is not null and {y} is not null").distinct()
+    first, second, third = pair(ab, "a", "b"), pair(bc, "b", "c"), pair(ca, "c", "a")
+    ranked = first.join(second.groupBy("b").agg(F.count(F.lit(1)).alias("at_b")), "b").join(third.groupBy("a").agg(F.count(F.lit(1)).alias("at_a")), "a")
+    ranked = runtime.cut(ranked)
+    by_b = ranked.where("at_b <= at_a").join(second, "b").join(third, ["c", "a"])
+    by_a = ranked.where("at_b > at_a").join(third, "a").join(second, ["b", "c"])
+    return by_b.select("a", "b", "c").union(by_a.select("a", "b", "c"))
+
+
+def dumbbell_of(streams: list[DataFrame]) -> JoinSpec:
+    """The dumbbell over seven relations: the three of either triangle, then the bridge."""
+    left, right = runtime.cut(triangles_of(*streams[:3])), runtime.cut(triangles_of(*streams[3:6])).toDF("x", "y", "z")
+    return JoinSpec(
+        {"bridge": Relation(streams[6].select("src", "dst"), ("src", "dst")), "left": Relation(left, ("a", "b", "c")), "right": Relation(right, ("x", "y", "z"))},
+        [Edge("bridge", "left", (("src", "a"),)), Edge("bridge", "right", (("dst", "x"),))],
+    )

@@ -6,11 +6,15 @@ those of the reservoir after the same arrivals.  Time is an integer column (an e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from .sampling import PRIORITY, priority
 
+#: The first so many rows of an order are found by keeping as many in each task.
+FEW = 10_000
+
 
 def prefix(df: DataFrame, seq: str, upto) -> DataFrame:
     """Rows that had arrived by ``upto``."""
@@ -46,15 +50,24 @@ def result_time(*ts: str) -> Column:
 def pop_front(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """df without its n first rows (by order; rows of equal order go together with their ties broken by nothing else, so order should be unique).
 
-    The n first are found as a bounded top-n; the rest stays where it is.
+    The last of the n is found as a bounded top-n, or by its position where n is large; the rest stays where it is.
     """
     if n <= 0:
         return df
-    edge = df.select(*order).orderBy(*order).limit(n).agg(F.max(F.struct(*order)).alias("__edge"))
+    if n <= FEW:
+        edge = df.select(*order).orderBy(*order).limit(n).agg(F.max(F.struct(*order)).alias("__edge"))
+    else:
+        from ..plans.spec import JoinSpec, Relation
+        from . import access
+
+        rows = access.Access(JoinSpec({"row": Relation(df, tuple(order))}, []))
+        last = rows.at(df.sparkSession.createDataFrame([(min(n, rows.size) - 1,)], "position bigint"))
+        edge = last.agg(F.max(F.struct(*[F.col(f"row__{c}").alias(c) for c in order])).alias("__edge"))
     return df.crossJoin(F.broadcast(edge)).where(F.struct(*order) > F.col("__edge")).drop("__edge")
 
 
 def per_window_sample(df: DataFrame, window: str, ids: list[str], k: int, seed: int | str = 42) -> DataFrame:
-    """k rows without replacement of each window, kept by rank in the window."""
-    order = Window.partitionBy(window).orderBy(priority(seed, *ids), *ids)
-    return df.withColumn(PRIORITY, F.row_number().over(order)).where(F.col(PRIORITY) <= k).drop(PRIORITY)
+    """k rows without replacement of each window; tasks keep k of each window before anything is shuffled."""
+    row = F.struct(priority(seed, *ids).alias(PRIORITY), *ids, *[F.col(f"`{c}`") for c in df.columns if c not in ids])
+    kept = df.groupBy(F.col(window).alias("__window")).agg(InternalFunction.collect_top_k(row, k, True).alias("__rows"))
+    return kept.select(F.explode("__rows").alias("__row")).select(*[F.col(f"__row.`{c}`") for c in df.columns])

@@ -27,3 +27,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _path(spark: SparkSession, folder: str):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the subfolders that were written to their end, in order."""
+    path, fs = _path(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(_path(spark, f"{folder}/{n}/_SUCCESS")[0]))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, fs = _path(spark, folder)
+    fs.delete(path, True)

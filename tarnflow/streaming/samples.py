@@ -1,9 +1,12 @@
 """A sample of a stream, kept up to date batch by batch.
 
 Samples by priority merge: the k least of (old sample, new rows) are the k least of all rows
-so far.  Each micro-batch reads the last sample from the shared checkpoint folder, merges its own,
-and writes the next one under the batch's number, so a batch that runs twice gives the same
-result.  A batch's own k least are found first, so that only k rows of it meet the old ones.
+so far.  Each micro-batch reads the sample of the last finished batch below its own number from the
+shared folder, merges its own rows, and writes the next one under its number.  Spark's marker of a
+finished write is the commit.  So a batch that runs twice gives the same result, and a new object
+on the same folder, as after a restart, goes on where the old one ended.  A folder belongs to
+one checkpoint: what it has of later batches is from another run and is removed.  A batch's own k
+least are found first, so that only k rows of it meet the old ones.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from .. import runtime
 from ..functions.hashing import priority
@@ -20,26 +24,36 @@ from ..operators.sampling import PRIORITY, swor
 from ..plans.spec import JoinSpec
 
 
+def _before(spark: SparkSession, folder: str, epoch: int) -> list[int]:
+    """Finished batches below epoch; later ones are removed."""
+    done = runtime.finished(spark, folder)
+    for e in done:
+        if e > epoch:
+            runtime.remove(spark, f"{folder}/{e}")
+    return [e for e in done if e < epoch]
+
+
 class StreamSample:
-    """Sample state for foreachBatch(StreamSample(...)): ``current`` is the sample after the last batch."""
+    """Sample state for foreachBatch(StreamSample(...)): ``current`` is the sample after the last finished batch."""
 
     def __init__(self, spark: SparkSession, ids: list[str], k: int, seed: int | str = 42, folder: str | None = None):
         runtime.prepare(spark)
         self.spark, self.ids, self.k, self.seed = spark, ids, k, seed
         self.folder = folder or f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-        self.last: str | None = None
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         new = swor(batch, self.ids, self.k, self.seed)
-        if self.last is not None:
-            new = swor(self.spark.read.parquet(self.last).unionByName(new), self.ids, self.k, self.seed)
-        path = f"{self.folder}/sample-{epoch}"
-        new.write.mode("overwrite").parquet(path)
-        self.last = path
+        before = _before(self.spark, f"{self.folder}/sample", epoch)
+        if before:
+            new = swor(self.spark.read.parquet(f"{self.folder}/sample/{before[-1]}").unionByName(new), self.ids, self.k, self.seed)
+        new.write.mode("overwrite").parquet(f"{self.folder}/sample/{epoch}")
+        for e in before[: -int(self.spark.conf.get("spark.sql.streaming.minBatchesToRetain", "100"))]:  # as far back as Spark itself can go
+            runtime.remove(self.spark, f"{self.folder}/sample/{e}")
 
     @property
     def current(self) -> DataFrame | None:
-        return None if self.last is None else self.spark.read.parquet(self.last)
+        done = runtime.finished(self.spark, f"{self.folder}/sample")
+        return self.spark.read.parquet(f"{self.folder}/sample/{done[-1]}") if done else None
 
 
 class StreamJoin:
@@ -48,7 +62,7 @@ class StreamJoin:
     A batch holds (sid, payload) rows.  Its new results are, for each relation, the batch's rows of it joined with what the
     relations before it hold after the batch and those after it held before: each new result once.  Only results whose
     priority is below the sample's last one can enter, so all others are dropped before they are sorted.  Relations and sample
-    lie under the batch's number in the shared folder; a batch that runs twice writes the same again.
+    lie under the batch's number in the shared folder, and are those of finished batches below it, in this or an earlier run.
 
     streams: (name, schema) by sid.  make: relations by name -> JoinSpec.
     """
@@ -57,8 +71,6 @@ class StreamJoin:
         runtime.prepare(spark)
         self.spark, self.streams, self.make, self.k, self.seed = spark, streams, make, k, seed
         self.folder = folder or f"{spark.sparkContext.getCheckpointDir()}/join-{uuid.uuid4().hex}"
-        self.epochs: list[int] = []
-        self.last: str | None = None
 
     def _held(self, name: str, schema: str, epochs: list[int]) -> DataFrame:
         if not epochs:
@@ -71,15 +83,14 @@ class StreamJoin:
             rows = batch.where(F.col("sid") == sid).select(F.from_csv("payload", schema).alias("row")).select("row.*")
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{epoch}")
         batch.unpersist()
-        old = [e for e in self.epochs if e != epoch]
+        old = _before(self.spark, f"{self.folder}/sample", epoch)
         before = {n: self._held(n, s, old) for n, s in self.streams}
         after = {n: self._held(n, s, [*old, epoch]) for n, s in self.streams}
         bound, ids, new = None, None, None
-        if self.last is not None:
-            sample = self.spark.read.parquet(self.last)
-            if sample.count() >= self.k:
-                bound = sample.agg(F.max(PRIORITY)).first()[0]
-            new = sample
+        if old:
+            new = self.spark.read.parquet(f"{self.folder}/sample/{old[-1]}")
+            if new.count() >= self.k:
+                bound = new.agg(F.max(PRIORITY)).first()[0]
         for i, (name, schema) in enumerate(self.streams):
             now = {n: self._held(n, s, [epoch]) if n == name else after[n] if j < i else before[n] for j, (n, s) in enumerate(self.streams)}
             spec = self.make(now)
@@ -88,13 +99,12 @@ class StreamJoin:
             if bound is not None:
                 found = found.where(F.col(PRIORITY) <= bound)
             new = found if new is None else new.unionByName(found)
-        path = f"{self.folder}/sample/{epoch}"
-        new.orderBy(PRIORITY, *ids).limit(self.k).write.mode("overwrite").parquet(path)
-        self.epochs, self.last = [*old, epoch], path
+        new.orderBy(PRIORITY, *ids).limit(self.k).write.mode("overwrite").parquet(f"{self.folder}/sample/{epoch}")
 
     @property
     def current(self) -> DataFrame | None:
-        return None if self.last is None else self.spark.read.parquet(self.last).drop(PRIORITY)
+        done = runtime.finished(self.spark, f"{self.folder}/sample")
+        return self.spark.read.parquet(f"{self.folder}/sample/{done[-1]}").drop(PRIORITY) if done else None
 
 
 def meter(query) -> list[dict]:
@@ -115,9 +125,9 @@ def sample_stream(source: DataFrame, ids: list[str], k: int, seed: int | str = 4
 def sample_per_window(source: DataFrame, ts: str, size: str, late: str, ids: list[str], k: int, seed: int | str = 42) -> DataFrame:
     """A streaming DataFrame (window, sample): k rows of each tumbling window, given out when the watermark has passed it.
 
-    ``late`` is how far rows may be out of order; the state holds k rows of each open window (an aggregation, merged map-side).
+    ``late`` is how far rows may be out of order; the state holds at most k rows of each open window, and so does what
+    each task of a batch sends there.  Repeated rows count as often as they occur.
     """
     ranked = source.withWatermark(ts, late).withColumn(PRIORITY, priority(seed, *ids))
-    row = F.struct(PRIORITY, *ids)
-    kept = ranked.groupBy(F.window(ts, size)).agg(F.slice(F.array_sort(F.collect_set(row)), 1, k).alias("sample")) if k > 1 else ranked.groupBy(F.window(ts, size)).agg(F.array(F.min(row)).alias("sample"))
+    kept = ranked.groupBy(F.window(ts, size)).agg(InternalFunction.collect_top_k(F.struct(PRIORITY, *ids), k, True).alias("sample"))
     return kept.withColumn("sample", F.transform("sample", lambda x: F.struct(*[x[i].alias(i) for i in ids])))

@@ -145,6 +145,41 @@ def test_triangles_and_dumbbell(spark):
     assert int(counting.size(spec).first()[0]) == len(want)
 
 
+def test_triangles_over_three_relations(spark):
+    import random
+
+    r = random.Random(4)
+    parts = [[(r.randrange(8), r.randrange(8)) for _ in range(25)] + [(None, 1), (2, 2)] for _ in range(3)]
+    x, y, z = (spark.createDataFrame(p, "src int, dst int") for p in parts)
+    want = sorted({(a, b, d) for a, b in parts[0] for c, d in parts[1] for e, f in parts[2] if None not in (a, c, e) and b == c and d == e and f == a})
+    assert rows_of(cyclic.triangles_of(x, y, z)) == want
+
+
+def test_groups_keep_results(spark):
+    fact = spark.createDataFrame([(i, i % 3 if i else None, i % 2) for i in range(9)], "f int, a int, b int")
+    left, right = spark.createDataFrame([(10 + i, i % 3) for i in range(5)], "l int, a int"), spark.createDataFrame([(20 + i, i % 2) for i in range(4)], "r int, b int")
+    spec = JoinSpec({"f": Relation(fact, ("f",)), "l": Relation(left, ("l",)), "r": Relation(right, ("r",))}, [Edge("f", "l", (("a", "a"),)), Edge("f", "r", (("b", "b"),))])
+    grouped = collapse.through_groups(spec, "f", ["a", "b"])
+    assert rows_of(grouped.results(columns=["f__f", "l__l", "r__r"])) == rows_of(spec.results())
+    a = access.Access(grouped)
+    got = a.at(spark.range(a.size).toDF("position")).select("f__f", "l__l", "r__r")
+    assert rows_of(got) == rows_of(spec.results())
+    with pytest.raises(ValueError, match="lack"):
+        collapse.through_groups(spec, "f", ["a"])
+
+
+def test_positions_beyond_64_bits(spark):
+    star = named.star(spark.range(3000).select(F.lit(1).alias("src"), F.col("id").alias("dst")), 7)
+    got = access.sample(star, 50, 3).collect()
+    assert len({tuple(r) for r in got}) == 50 and all(0 <= r["g7__dst"] < 3000 for r in got)
+    a = access.Access(star)
+    n = 3000**7
+    places = spark.createDataFrame([(str(p),) for p in (0, n - 1, n, 1234567890123456789012)], "p string").select(F.col("p").cast("decimal(38,0)").alias("position"))
+    got = {int(r[0]): [r[f"g{i}__dst"] for i in range(1, 8)] for r in a.at(places).collect()}
+    digits = lambda p: [p // 3000 ** (6 - i) % 3000 for i in range(7)]
+    assert got == {p: digits(p) for p in (0, n - 1, 1234567890123456789012)}
+
+
 def test_band_join_and_count(spark):
     import random
 

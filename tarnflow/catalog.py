@@ -178,6 +178,13 @@ add(
 )
 
 
+add(
+    "line3_propagations", lambda s, d: counting.propagations(named.line(S.edges(s, d), 3), "g1"),
+    f"with {G_SQL}, c as (select 'g2' as node, count(*) as cnt from g g2 join g g3 on g2.dst = g3.src group by g2.src union all select 'g3', count(*) from g group by src)"
+    " select node, cast(sum(1 + case when cnt > 1 then length(bin(cnt - 1)) else 0 end) as bigint) as n_propagations from c group by node",
+)
+
+
 def line3_tree_counts(spark: SparkSession, d: str) -> DataFrame:
     spec, out = named.line(S.edges(spark, d), 3), None
     for root in spec.relations:
@@ -485,6 +492,24 @@ def stream_line3_sample(spark: SparkSession, d: str) -> DataFrame:
     return state.current.select(*[F.col(c).cast("bigint") for c in line_columns(3)[0]]).toDF(*line_columns(3)[1])
 
 
+def stream_window_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream: five of each day, given out once the watermark has passed the day."""
+    import uuid
+
+    prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/days-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    days = samples.sample_per_window(source, "ts", "1 day", "0 seconds", ["event_id"], 5, SEED)
+    days.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(days.schema).parquet(f"{folder}/out")
+    return found.select(F.unix_seconds("window.start").alias("win"), F.explode("sample").alias("row")).select("win", "row.event_id")
+
+
+add(
+    "stream_window_sample", stream_window_sample,
+    f"with {E_SQL}, w as (select event_id, t - t % {DAY} as win from e), m as (select max(epoch_us(ts)) // 1000 as now from events)"
+    f" select win, event_id from w, m where (win + {DAY}) * 1000 <= now qualify row_number() over (partition by win order by {prio('event_id')}, event_id) <= 5",
+)
 add("stream_line3_sample", stream_line3_sample, f"with {G_SQL}, {line_sql(3)} select * from j order by {prio('A', 'B', 'B', 'C', 'C', 'D')}, A, B, C, D limit {K}")
 add("stream_sample", stream_sample, f"select event_id, user_id, event_type from events {best(['event_id'])}")
 add(

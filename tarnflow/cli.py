@@ -86,12 +86,13 @@ def take(spec: JoinSpec, a: argparse.Namespace, seed: int, prepared: access.Acce
 
 
 def update_time(spec: JoinSpec, tuples: int) -> str:
-    """The time that keeping all key counts (rooted at each relation, as arrivals in any of them need) takes for each tuple, and the counts kept."""
+    """The time that keeping all key counts (rooted at each relation, as arrivals in any of them need) takes for each tuple, the counts kept, and their changes."""
     began = time.perf_counter_ns()
     keys = sum(r["n_keys"] for root in spec.relations for r in counting.updated_keys(spec, root).collect())
     size = counting.size(spec).first()[0]
     spent = time.perf_counter_ns() - began
-    return f"join size = {size}\ntuples = {tuples}\nkey counts = {keys}\nupdate time = {spent // max(1, tuples)} ns per tuple"
+    moves = sum(r["n_propagations"] for root in spec.relations for r in counting.propagations(spec, root).collect())
+    return f"join size = {size}\ntuples = {tuples}\nkey counts = {keys}\npropagations = {moves}\nupdate time = {spent // max(1, tuples)} ns per tuple"
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -98,6 +98,19 @@ def updated_keys(spec: JoinSpec, root: str) -> DataFrame:
     return out
 
 
+def propagations(spec: JoinSpec, root: str) -> DataFrame:
+    """(node, n_propagations): how often a key count of each relation below root, rounded up to a power of two, changes until all rows have come.
+
+    A change is what the rows above have to learn; a count c that grows one by one takes 1 + log2 of its rounded value of them.
+    """
+    out = None
+    for s in spec.tree(root)[1:]:
+        changes = F.lit(1) + F.when(F.col("bound") > 1, F.length(F.bin(F.col("bound") - 1))).otherwise(0)
+        one = key_counts(spec, root, s.node).agg(F.coalesce(F.sum(changes), F.lit(0)).alias("n_propagations")).select(F.lit(s.node).alias("node"), "n_propagations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def upper_bound(cnt: Column) -> Column:
     """The least power of two that isn't below cnt (cnt below 2^62)."""
     c = cnt.cast("bigint")

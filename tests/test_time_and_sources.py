@@ -108,7 +108,7 @@ def test_cli_reports_windows_and_designs(spark, tmp_path, capsys):
     assert cli_lines(spark, capsys, "line_join", 2, path, 0.999999, "--sampling", "bernoulli")[-1] == "size = 2"
     assert cli_lines(spark, capsys, "line_join", 2, path, 9, "--window", "sliding", "--window-size", 4, "--window-column", "src")[0] == "join size = 1"
     got = cli_lines(spark, capsys, "line_join_update_time", 2, path)
-    assert got[0] == "join size = 2" and got[1] == "tuples = 4" and got[3].endswith("ns per tuple")
+    assert got[0] == "join size = 2" and got[1] == "tuples = 4" and got[4].endswith("ns per tuple")
 
 
 def test_cli_keeps_roles_apart(spark, tmp_path, capsys):

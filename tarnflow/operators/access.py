@@ -73,18 +73,18 @@ def _part_of(places: DataFrame, bases: list[tuple[int, int]]) -> DataFrame:
     return places.mapInArrow(run, f"{schema}, part int")
 
 
-def _lookup(rows: DataFrame, blocks: DataFrame, bases: list[tuple[int, int]], places: DataFrame, prefix: str) -> DataFrame:
-    """places (at, ...) with the row whose interval holds at, its columns under prefix, and ``rest``: at less the row's beginning."""
+def _lookup(rows: DataFrame, blocks: DataFrame, bases: list[tuple[int, int]], places: DataFrame, prefix: str, few: bool) -> DataFrame:
+    """places (at, ...) with the row whose interval holds at, its columns under prefix, and ``rest``: at less the row's beginning.  few: places may be broadcast."""
     asks = _part_of(places, bases)
     ask = F.struct(*places.columns).alias("ask")
     kind = asks.select(ask).schema["ask"].dataType
     both = blocks.select("part", "at", F.lit(0).alias("kind"), "block", F.lit(None).cast(kind).alias("ask")).unionByName(asks.select("part", "at", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("block"), ask))
     last = F.last("block", ignorenulls=True).over(Window.partitionBy("part").orderBy("at", "kind", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = runtime.cut(both.withColumn("block", last).where("kind = 1").select(F.col("part").alias("__part"), F.col("block").alias("__block"), "ask"))
-    few = met if met.count() > FEW else F.broadcast(met)
+    met = both.withColumn("block", last).where("kind = 1").select(F.col("part").alias("__part"), F.col("block").alias("__block"), "ask")
+    met = F.broadcast(met) if few else met
     keep = [c for c in rows.columns if c not in ("part", "block")]
     inside = (F.col("ask.at") >= F.col("before")) & (F.col("ask.at") < F.col("before") + F.col("weight"))
-    found = rows.join(few, (F.col("part") == F.col("__part")) & (F.col("block") == F.col("__block")) & inside)
+    found = rows.join(met, (F.col("part") == F.col("__part")) & (F.col("block") == F.col("__block")) & inside)
     return found.select("ask.*", *[F.col(c).alias(f"{prefix}{c}") for c in keep]).withColumn("rest", (F.col("at") - F.col(f"{prefix}before")).cast(WEIGHT))
 
 
@@ -142,17 +142,17 @@ class Access:
         now = positions.select(F.col(position).alias("position"), F.col(position).cast(WEIGHT).alias("at")).where((F.col("at") >= 0) & (F.col("at") < F.lit(str(self.size)).cast(WEIGHT)))
         if not self.size:
             return self._nothing(now)
-        out = self._descend(self.steps[0], now)
+        out = self._descend(self.steps[0], now, now.count() <= FEW)  # every place has one row in each relation
         return out.select("position", *self.spec.ids())
 
     def _nothing(self, now: DataFrame) -> DataFrame:
         kinds = {f"{n}__{c}": r.df.schema[c].dataType for n, r in self.spec.relations.items() for c in r.rid}
         return now.select("position", *[F.lit(None).cast(kinds[c]).alias(c) for c in self.spec.ids()])
 
-    def _descend(self, s: Step, now: DataFrame) -> DataFrame:
+    def _descend(self, s: Step, now: DataFrame, few: bool) -> DataFrame:
         """now: (…, at) places in s; returns it with the ids of s and of all below."""
         carried = [c for c in now.columns if c != "at"]
-        found = _lookup(self.rows[s.node], self.blocks[s.node], self.bases[s.node], now, "__r_")
+        found = _lookup(self.rows[s.node], self.blocks[s.node], self.bases[s.node], now, "__r_", few)
         children = self.spec.children(self.steps, s.node)
         ids = [F.col(f"__r_{c}").alias(f"{s.node}__{c}") for c in self.spec.relations[s.node].rid]
         places: list[Column] = []
@@ -163,7 +163,7 @@ class Access:
             rest = F.floor((rest - rest % total) / total).cast(WEIGHT) if i else rest
         out = runtime.cut(found.select(*carried, *ids, *places)) if children else found.select(*carried, *ids)
         for c in children:
-            out = self._descend(c, out.withColumnRenamed(f"__at_{c.node}", "at"))
+            out = self._descend(c, out.withColumnRenamed(f"__at_{c.node}", "at"), few)
         return out
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,13 @@ def buckets(df: DataFrame, per_partition: float = 2) -> int:
     return min(1 << 20, max(4, int(per_partition * partitions(df))))
 
 
+def byte_buckets(df: DataFrame, each: int = 16 << 20) -> int:
+    """Buckets for what a scan gives: one for so many bytes of its input, whatever its partitions are."""
+    most = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    size = int(re.match(r"\d+", most).group()) << {"k": 10, "m": 20, "g": 30}.get(most.lower().rstrip("b")[-1:], 0)
+    return buckets(df, max(1.0, size / each))
+
+
 def release() -> None:
     """Memory that numpy and Arrow are done with goes back to the system; Python workers live on between tasks."""
     import ctypes
@@ -100,6 +108,8 @@ def batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 
 
 CHUNKS = 64
+#: Partial sums that one task merges; with more of them there are two rounds.
+FAN = 256
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -119,24 +129,29 @@ def corpus_counts(df: DataFrame, columns: list[str], add: Callable[[pa.RecordBat
     only_if: the vector says, in a byte each, whether a count isn't 0.
     """
     step = size // CHUNKS
+    spread = -(-partitions(df) // FAN)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
             add(b, total)
         if total.any():
-            yield packed_batch([(k, _squeeze(total[k * step : (k + 1) * step])) for k in range(CHUNKS)])
+            own = CHUNKS * (TaskContext.get().partitionId() % spread)
+            yield packed_batch([(own + k, _squeeze(total[k * step : (k + 1) * step])) for k in range(CHUNKS)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found.setdefault(k, np.zeros(step, np.int64))
-                found[k] += _spread(p, step)
+                found.setdefault(k % CHUNKS, np.zeros(step, np.int64))
+                found[k % CHUNKS] += _spread(p, step)
         yield packed_batch([(k, _squeeze(np.minimum(x, 1) if only_if else x)) for k, x in found.items()])
 
     total = np.zeros(size, np.uint8 if only_if else np.int64)
-    for row in df.select(*columns).mapInArrow(lean(count), PACKED).repartition(16, "bucket").mapInArrow(lean(merge), PACKED).collect():
+    parts = df.select(*columns).mapInArrow(lean(count), PACKED)
+    if spread > 1:
+        parts = parts.repartition(16 * spread, "bucket").mapInArrow(lean(merge), PACKED)
+    for row in parts.repartition(16, "bucket").mapInArrow(lean(merge), PACKED).collect():
         total[row.bucket * step : (row.bucket + 1) * step] = _spread(row.payload, step)
     return total
 
@@ -158,16 +173,21 @@ def width(column: str, kind: str):
     if kind in ("string", "binary"):
         return F.octet_length(c) + 16
     if kind.startswith("array"):
-        return 9 * F.size(c) + 24
+        return (2 if kind == "array<boolean>" else 9) * F.size(c) + 24
     return F.lit(8)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if all of it takes few bytes.  df should be cheap to read (a checkpoint or table)."""
+def few(df: DataFrame) -> bool:
+    """Whether all of df takes few bytes.  df should be cheap to read (a checkpoint or table)."""
     each = F.lit(8)
     for name, kind in df.dtypes:
         each = each + F.coalesce(width(name, kind), F.lit(8))
-    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else df
+    return (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it takes few bytes."""
+    return F.broadcast(df) if few(df) else df
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

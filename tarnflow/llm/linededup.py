@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, kernel
@@ -47,10 +47,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, pos, left, line, id, chars, ahead): the lines that aren't blank; pos counts them, left those from here on, line counts all; ahead: characters of those before."""
+def packed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, uid, size, payload): the lines of each text that aren't blank, as arrays: id, number among all lines, characters.
+
+    A row that a task has had before is left out, so that a row repeated any number of times comes once from each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[int] = set()
         for b in batches:
             for first, rows, col in kernel.text_slices(b, "text"):
                 buf, off = kernel.raw(col)
@@ -72,41 +76,60 @@ def lines(docs: DataFrame) -> DataFrame:
                 np.cumsum((buf.astype(U64) + U64(1)) * kernel.powers(kernel.BASE, n), out=sums[1:])
                 h = kernel.mix((sums[end] - sums[start]) * kernel.powers(kernel.BASE_INV, n + 1)[start]) + (end - start).astype(U64)
                 doc = np.searchsorted(off, start, side="right") - 1
-                begin = np.searchsorted(doc, np.arange(len(off) - 1))
                 head = np.concatenate([[0], np.cumsum(breaks)])
                 count = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-                chars = count[end] - count[start]
-                ahead = np.cumsum(chars) - chars
-                take = pa.array(doc + first)
+                number, chars = (head[start] - head[off[doc]]).astype(np.int32), (count[end] - count[start]).astype(np.int32)
+                ids, uids = b.column(0).slice(first, rows).to_pylist(), b.column(1).slice(first, rows).to_pylist()
+                begin, many = kernel.runs(doc)
+                new = [(a, k, d) for a, k, d in zip(begin.tolist(), many.tolist(), doc[begin].tolist()) if not (uids[d] in had or had.add(uids[d]))]
                 yield common.batch(
-                    doc_id=b.column(0).take(take), uid=b.column(1).take(take), pos=(np.arange(len(doc)) - begin[doc]).astype(np.int32), left=(np.append(begin[1:], len(doc))[doc] - np.arange(len(doc))).astype(np.int32),
-                    line=(head[start] - head[off[doc]]).astype(np.int32), id=h.view(np.int64), chars=chars.astype(np.int64), ahead=ahead - ahead[begin[doc]],
+                    doc_id=pa.array([ids[d] for _, _, d in new], pa.int64()), uid=pa.array([uids[d] for _, _, d in new], pa.int64()), size=pa.array([k for _, k, _ in new], pa.int64()),
+                    payload=pa.array([kernel.pack(h[a : a + k].view(np.int64), number[a : a + k], chars[a : a + k]) for a, k, _ in new], pa.binary()),
                 )
 
-    return docs.select("doc_id", "uid", "text").mapInArrow(common.lean(run), "doc_id bigint, uid bigint, pos int, left int, line int, id bigint, chars bigint, ahead bigint").dropDuplicates(["uid", "pos"])
+    return docs.select("doc_id", "uid", "text").mapInArrow(common.lean(run), "doc_id bigint, uid bigint, size bigint, payload binary")
 
 
-def numbered(lines_: DataFrame) -> DataFrame:
-    """The lines with n, their place in the corpus: by doc_id, then text (its hash), then position; the lines of a text are consecutive."""
-    order = ["doc_id", "uid", "pos"]
-    placed = lines_.repartitionByRange(common.partitions(lines_), *order).withColumn("part", F.spark_partition_id()).checkpoint()
-    known, base = {}, 0  # by partition of the checkpoint, which stays as it is when a task runs again
-    for r in sorted(placed.groupBy("part").count().collect()):
-        known[r["part"]] = base
-        base += r["count"]
+def bases(packed: DataFrame) -> DataFrame:
+    """(uid, base, again): where the lines of each text begin in the corpus, by doc_id, then text (its hash); again: several rows have it."""
+    texts = packed.groupBy("doc_id", "uid").agg(F.max("size").alias("size"), F.count("*").alias("rows"))
+    placed = texts.repartitionByRange(common.partitions(packed), "doc_id", "uid").withColumn("part", F.spark_partition_id()).checkpoint()
+    known, total = {}, 0  # by partition of the checkpoint, which stays as it is when a task runs again
+    for r in sorted(placed.groupBy("part").agg(F.sum("size").alias("all")).collect()):
+        known[r["part"]] = total
+        total += r["all"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for b in batches:
-            if not b.num_rows:
+            if b.num_rows:
+                at = known[b.column(0)[0].as_py()] if at is None else at
+                size = b.column(2).to_numpy(zero_copy_only=False)
+                yield common.batch(uid=b.column(1), base=at + np.cumsum(size) - size, again=pa.array(b.column(3).to_numpy(zero_copy_only=False) > 1))
+                at += int(size.sum())
+
+    ordered = placed.sortWithinPartitions("doc_id", "uid").select("part", "uid", "size", "rows")
+    return ordered.mapInArrow(common.lean(run), "uid bigint, base bigint, again boolean").checkpoint()
+
+
+def lines(packed: DataFrame) -> DataFrame:
+    """(n, left, pos, id, uid, doc_id) of each line: n is its place in the corpus, left the number of lines from here to the text's end."""
+    side = common.sized(bases(packed).toDF("__uid", "base", "again"))
+    placed = packed.join(side, F.col("uid") == F.col("__uid")).select("doc_id", "uid", "base", "again", "payload")
+    once = placed.where("not again").drop("again").unionByName(placed.where("again").drop("again").dropDuplicates(["uid"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [kernel.unpack(x)[0] for x in b.column(3).to_pylist()]
+            if not ids:
                 continue
-            at = known[b.column(0)[0].as_py()] if at is None else at
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + b.num_rows)), *b.columns[1:]], ["n", *b.schema.names[1:]])
-            at += b.num_rows
+            many = np.array([len(x) for x in ids])
+            pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            doc = pa.array(np.repeat(np.arange(len(ids)), many))
+            base = np.repeat(b.column(2).to_numpy(zero_copy_only=False), many)
+            yield common.batch(n=base + pos, left=(np.repeat(many, many) - pos).astype(np.int32), pos=pos.astype(np.int32), id=np.concatenate(ids), uid=b.column(1).take(doc), doc_id=b.column(0).take(doc))
 
-    columns = ["doc_id", "uid", "left", "line", "id", "chars", "ahead"]
-    schema = "n bigint, doc_id bigint, uid bigint, left int, line int, id bigint, chars bigint, ahead bigint"
-    return placed.sortWithinPartitions(*order).select("part", *columns).mapInArrow(common.lean(run), schema).checkpoint()
+    return once.mapInArrow(common.lean(run), "n bigint, left int, pos int, id bigint, uid bigint, doc_id bigint")
 
 
 LATER = "n <> name"
@@ -144,10 +167,8 @@ def descend(state: DataFrame, level: DataFrame, h: int) -> DataFrame:
     return placed.select("n", "left", F.explode(to).alias("to")).select("n", "left", "to.src", "to.l", "to.need")
 
 
-def longest(all_lines: DataFrame) -> DataFrame:
-    """(n, n_lines, src) of every suffix that begins with a later copy: its longest, and its source."""
-    first = all_lines.groupBy("id").agg(F.count("*").alias("k"), F.min("n").alias("name")).where("k > 1").select("id", "name")
-    level = all_lines.select("n", "left", "id").join(first, "id").select("n", "left", "name").checkpoint()
+def longest(level: DataFrame) -> DataFrame:
+    """(n, n_lines, src) of every suffix that begins with a later copy: its longest, and its source.  level: the intervals of single lines."""
     levels = [level]
     while not level.isEmpty():
         level = double(level, 1 << (len(levels) - 1)).checkpoint()
@@ -161,32 +182,64 @@ def longest(all_lines: DataFrame) -> DataFrame:
     return state.where("need").select("n", F.col("l").alias("n_lines"), "src")
 
 
-def runs(all_lines: DataFrame) -> DataFrame:
-    """(n, uid, line, n_lines, n_chars, source_doc_id): the maximal runs that are later copies."""
-    found = longest(all_lines).withColumn("end", F.col("n") + F.col("n_lines"))
+def runs(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, pos, n_lines, source_doc_id): the maximal runs that are later copies; and a table to discard when they have been read."""
+    all_lines = common.stored(lines(packed))
+    # not a count: it is two places that make a tie
+    first = all_lines.groupBy("id").agg(F.min("n").alias("name"), F.max("n").alias("last")).where("name < last").select("id", "name")
+    tied = all_lines.select("n", "left", "id").join(first, "id").select("n", "left", "name").checkpoint()
+    found = longest(tied).withColumn("end", F.col("n") + F.col("n_lines"))
     inside = found.select((F.col("n") + 1).alias("n"), "end")  # what ends with the run one line before
     maximal = found.join(inside, ["n", "end"], "left_anti")
-    marks = F.array(*[F.struct(F.lit(k).alias("kind"), at.alias("at")) for k, at in enumerate((F.col("n"), F.col("end") - 1, F.col("src")))])
-    asked = maximal.select("n", "n_lines", F.explode(marks).alias("mark")).select("n", "n_lines", "mark.kind", "mark.at")
-    met = asked.join(all_lines.select(F.col("n").alias("at"), "uid", "doc_id", "line", "chars", "ahead"), "at")
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.expr(c)))
-    return met.groupBy("n", "n_lines").agg(of(0, "uid").alias("uid"), of(0, "line").alias("line"), (of(1, "ahead + chars") - of(0, "ahead")).alias("n_chars"), of(2, "doc_id").alias("source_doc_id"))
+    asked = common.sized(maximal.select("n", F.col("n").alias("at")).union(maximal.select("n", "src")).checkpoint())
+    where = asked.join(all_lines.select(F.col("n").alias("at"), "uid", "pos", "doc_id"), "at")
+    of = lambda c, own: F.max(F.when((F.col("at") == F.col("n")) == own, F.col(c)))
+    places = where.groupBy("n").agg(of("uid", F.lit(True)).alias("uid"), of("pos", F.lit(True)).alias("pos"), of("doc_id", F.lit(False)).alias("source_doc_id"))
+    return maximal.select("n", "n_lines").join(places, "n").select("uid", "pos", "n_lines", "source_doc_id"), all_lines
 
 
-def copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(uid, line) of deleted lines, and the maximal runs they lie in.
+SIDE = "uid bigint, gone array<boolean>, n bigint, starts array<bigint>, lengths array<bigint>, sources array<bigint>"
+
+
+def copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(uid, gone, n, starts, lengths, sources) of the texts that lose lines: whether each line up to the last deleted one is, their number, and the runs.
 
     docs: (doc_id, uid, text).
     """
     if min_lines < 1:
         raise ValueError("min_lines >= 1")
-    all_lines = numbered(lines(docs))
-    found = runs(all_lines).where((F.col("n_lines") >= min_lines) & (F.col("n_chars") >= min_chars)).checkpoint()
-    # a line is deleted if a run that begins at or before it reaches it
-    reach = F.max(F.col("n") + F.col("n_lines")).over(Window.partitionBy("uid").orderBy("n"))
-    own = all_lines.select("uid", "n", "line").join(found.select("uid").distinct(), "uid", "left_semi")
-    gone = own.join(found.select("n", "n_lines"), "n", "left").withColumn("reach", reach).where("reach > n").select("uid", "line")
-    return gone, found
+    packed = common.stored(packed_lines(docs))
+    each = F.array_sort(F.collect_list(F.struct("pos", "n_lines", "source_doc_id")))
+    found, all_lines = runs(packed)
+    side = common.sized(found.groupBy(F.col("uid").alias("__uid")).agg(each.alias("runs")).checkpoint())
+    common.discard(all_lines)
+    met = packed.select("uid", "payload").join(side, F.col("uid") == F.col("__uid")).select("uid", "payload", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            had: set[int] = set()
+            for uid, payload, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if uid in had:
+                    continue
+                had.add(uid)
+                _, number, chars = kernel.unpack(payload)
+                total = np.concatenate([[0], np.cumsum(chars)])
+                kept = [(r["pos"], r["n_lines"], r["source_doc_id"]) for r in found if r["n_lines"] >= min_lines and total[r["pos"] + r["n_lines"]] - total[r["pos"]] >= min_chars]
+                if not kept:
+                    continue
+                lost = np.unique(np.concatenate([number[p : p + k] for p, k, _ in kept]))
+                mask = np.zeros(int(lost[-1]) + 1, bool)
+                mask[lost] = True
+                for column, value in zip(out, (uid, mask.tolist(), len(lost), [int(number[p]) for p, _, _ in kept], [k for _, k, _ in kept], [d for _, _, d in kept])):
+                    column.append(value)
+            numbers_ = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.list_(pa.bool_()), pa.int64(), numbers_, numbers_, numbers_)
+            yield common.batch(**{n: pa.array(c, t) for n, c, t in zip(("uid", "gone", "n", "starts", "lengths", "sources"), out, kinds)})
+
+    out = met.mapInArrow(common.lean(run), SIDE).dropDuplicates(["uid"]).checkpoint()
+    common.discard(packed)
+    return out
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", removed: str = "n_removed", min_chars: int = MIN_CHARS, with_runs: bool = False) -> DataFrame:
@@ -199,25 +252,29 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", t
     names = ["run_starts", "run_lengths", "run_sources"] if with_runs else []
     columns = [c for c in docs.columns if c != removed and c not in names]
     slim = common.reduced_scan(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    gone, maximal = copies(slim.withColumn("uid", F.xxhash64("doc_id", "text")), min_lines, min_chars)
-    # a mask of the text's lines up to the last removed one, so that a line is looked up in constant time
-    gap = F.col("line") - F.coalesce(F.lag("line").over(Window.partitionBy("uid").orderBy("line")) + 1, F.lit(0))
-    mask = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "gap"))), lambda x: F.concat(F.array_repeat(F.lit(False), x["gap"]), F.array(F.lit(True)))))
-    side = gone.withColumn("gap", gap).groupBy("uid").agg(mask.alias("__gone"), F.count("*").alias("__n"))
-    if with_runs:
-        each = F.array_sort(F.collect_list(F.struct("line", F.col("n_lines").cast("bigint").alias("n_lines"), "source_doc_id")))
-        side = side.join(maximal.groupBy("uid").agg(each.alias("__runs")), "uid")
-    side = common.sized(side.withColumnRenamed("uid", "__uid").checkpoint())
-    uid = F.xxhash64(docs[f"`{doc_id}`"].cast("bigint"), docs[f"`{text}`"])
-    out = side["__gone"]
-    joined = docs.join(side, (uid == side["__uid"]) & docs[f"`{doc_id}`"].isNotNull(), "left")
-    kept = F.filter(F.split(docs[f"`{text}`"], "\n", -1), lambda x, i: ~F.coalesce(F.get(out, i), F.lit(False)))
-    cut = F.when(out.isNull(), docs[f"`{text}`"]).otherwise(F.array_join(kept, "\n"))
-    more = []
-    if with_runs:
-        parts = [side["__runs"][f].cast("array<bigint>") for f in ("line", "n_lines", "source_doc_id")]
-        more = [F.coalesce(p, F.array().cast("array<bigint>")).alias(name) for p, name in zip(parts, names)]
-    return joined.select(*[cut.alias(c) if c == text else docs[f"`{c}`"] for c in columns], F.coalesce(side["__n"], F.lit(0)).cast("bigint").alias(removed), *more)
+    side = copies(slim.withColumn("uid", F.xxhash64("doc_id", "text")), min_lines, min_chars)
+    own, gone, n, *lists = [common.fresh(docs, f"__{c}") for c in side.columns]
+    side = side.toDF(own, gone, n, *lists).select(own, gone, n, *lists[: len(names)])
+    key, source = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    uid, empty = F.xxhash64(key.cast("bigint"), source), F.array().cast("array<bigint>")
+
+    def cut(part: DataFrame, side: DataFrame) -> DataFrame:
+        joined = part.join(side, (uid == F.col(own)) & key.isNotNull(), "left")
+        kept = F.filter(F.split(source, "\n", -1), lambda x, i: ~F.coalesce(F.get(F.col(gone), i), F.lit(False)))
+        new = F.when(F.col(gone).isNull(), source).otherwise(F.array_join(kept, "\n"))
+        more = [F.coalesce(F.col(c), empty).alias(name) for c, name in zip(lists, names)]
+        return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(removed), *more)
+
+    if common.few(side):
+        return cut(docs, F.broadcast(side))
+    mark = common.fresh(docs, "__mark")
+    ids = side.select(F.col(own).alias(mark))
+    if not common.few(ids):
+        return cut(docs, side)
+    # only texts that lose lines are shuffled
+    rest = docs.join(F.broadcast(ids), (uid == F.col(mark)) & key.isNotNull(), "left_anti")
+    as_is = rest.select(*[f"`{c}`" for c in columns], F.lit(0).cast("bigint").alias(removed), *[empty.alias(c) for c in names])
+    return as_is.unionAll(cut(docs.where(key.isNotNull()).join(F.broadcast(ids), uid == F.col(mark), "left_semi"), side))
 
 
 #: Runs grow by one line at a time here: a group is all suffixes that begin with the same h lines, named by its first.

@@ -265,8 +265,6 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", t
         more = [F.coalesce(F.col(c), empty).alias(name) for c, name in zip(lists, names)]
         return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(removed), *more)
 
-    if common.few(side):
-        return cut(docs, F.broadcast(side))
     mark = common.fresh(docs, "__mark")
     ids = side.select(F.col(own).alias(mark))
     if not common.few(ids):

@@ -1,7 +1,8 @@
 """N-gram Jaccard join with several global token orders.
 
 Two documents are linked when the Jaccard similarity of their sets of word n-grams is at
-least ``threshold``; the result has the connected groups.  Any two such sets share at least
+least ``threshold``; the result has each document's number of links and its connected
+group (``links``), or the groups alone (``groups``).  Any two such sets share at least
 c tokens among the first ``n - ceil(threshold * n) + c`` tokens of each, *whatever* the
 global order of the tokens is.  So a pair is a candidate only if it shares c prefix tokens
 under every one of several orders; only pairs in that intersection are verified against the
@@ -12,10 +13,12 @@ function of the token is a valid order, so collisions cost nothing but sharpness
 orders differ in how they permute tokens of the same frequency class.
 
 Groups of thousands of copies have millions of pairs, which nobody needs: documents with
-equal sets collapse before the join, and documents that share a pair of min-hashes are
+equal sets collapse before the join.  ``links`` joins one document of each such class with those of
+all others, verifies every candidate and counts the copies by their number; no link between different
+sets is left out.  ``groups`` needs fewer pairs: documents that share a pair of min-hashes are
 verified first, against one leader per pair.  A posting list then yields only pairs of documents that
-these verified links don't connect yet.  No pair is lost by this: a pair left out lies in
-one group already.  There is no cap on partners, candidates or lengths.
+these verified links don't connect yet; a pair left out lies in one group already.
+There is no cap on partners, candidates or lengths.
 
 Defined cases: null ids take no part; a null or empty text, or one without words, has no
 n-grams and is in no group; a text of fewer than n words has one token, its words; rows
@@ -151,14 +154,17 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(common.lean(check), "a bigint, b bigint").distinct()
 
 
-def candidates(spark: SparkSession, docs: DataFrame, labels: DataFrame, classes: bytes, n: int, threshold: float, orders: int, n_buckets: int) -> DataFrame:
+def candidates(spark: SparkSession, docs: DataFrame, labels: DataFrame | None, classes: bytes, n: int, threshold: float, orders: int, n_buckets: int) -> DataFrame:
     """Pairs (a, b) that share enough prefix tokens under each order, fit in size, and have different labels.
 
-    docs: (doc_id, text); labels: (node, label) for ids that have one other than themselves.
+    docs: (doc_id, text); labels: (node, label) for ids that have one other than themselves; None: no pair is left out.
     """
     shared = spark.sparkContext.broadcast(classes)
-    at = common.sized(labels.checkpoint())
-    labelled = docs.join(at, docs["doc_id"] == at["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
+    if labels is None:
+        labelled = docs.select("doc_id", F.col("doc_id").alias("label"), "text")
+    else:
+        at = common.sized(labels.checkpoint())
+        labelled = docs.join(at, docs["doc_id"] == at["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(shared.value, np.uint8)
@@ -280,12 +286,36 @@ def candidates(spark: SparkSession, docs: DataFrame, labels: DataFrame, classes:
     return both.where(" and ".join(f"{k} >= least" for k in counts)).select("a", "b")
 
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, group_id) of every document that is in a group of at least two; group_id is the least doc_id of the group."""
+def scanned(docs: DataFrame, n: int, threshold: float, orders: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text) of the rows that take part."""
     if not 0 < threshold <= 1 or not 1 <= orders <= len(ODD) or n < 1:
         raise ValueError("0 < threshold <= 1, 1 <= orders <= 4, n >= 1")
+    return common.reduced_scan(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, group_id, n_links) of every document that is linked to another one: to how many others, and the least doc_id that links lead to."""
+    spark = common.prepare(docs.sparkSession)
+    docs = scanned(docs, n, threshold, orders, doc_id, text)
+    # documents of the same sets (an id may have several texts) are a class; one of them, the node, is joined for all
+    own = signatures(docs, n).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("whole", "size"))).alias("sets")).checkpoint()
+    classes = own.groupBy("sets").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"))
+    members = own.join(classes, "sets").select("doc_id", "node", "weight").checkpoint()
+    rest = common.join_ids(docs, common.sized(members.where("doc_id <> node").select("doc_id").checkpoint()), "left_anti")
+    pairs = candidates(spark, rest, None, frequency_classes(docs, n), n, threshold, orders, common.byte_buckets(docs))
+    linked = verified(docs, pairs, n, threshold).checkpoint()
+    both = linked.union(linked.select("b", "a")).toDF("node", "other")
+    weights = members.where("doc_id = node").select(F.col("node").alias("other"), "weight")
+    others = both.join(weights, "other").groupBy("node").agg(F.sum("weight").alias("others"))
+    found = members.join(others, "node", "left").join(components(spark, linked), "node", "left")
+    n_links = F.coalesce("others", F.lit(0)) + F.col("weight") - 1
+    return found.select("doc_id", F.coalesce("label", "node").alias("group_id"), n_links.cast("bigint").alias("n_links")).where("n_links > 0")
+
+
+def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, group_id) of every document that is in a group of at least two; group_id is the least doc_id of the group."""
     spark = common.prepare(docs.sparkSession)
-    docs = common.reduced_scan(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    docs = scanned(docs, n, threshold, orders, doc_id, text)
     n_buckets = common.byte_buckets(docs)
     signed = signatures(docs, n).checkpoint()
     # equal sets collapse: one id stands for all
@@ -347,6 +377,8 @@ with recursive words as (
   select r.doc_id, l.b from reach r join links l on l.a = r.other
 ), labelled as (
   select doc_id, min(other) as group_id from reach group by doc_id
+), numbers as (
+  select a as doc_id, count(*) as n_links from links group by a
 )
-select group_id, list_sort(list(doc_id)) as doc_ids, count(*) as n_docs from labelled group by group_id
+select doc_id, group_id, n_links from labelled join numbers using (doc_id)
 """

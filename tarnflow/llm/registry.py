@@ -43,7 +43,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.grouped(common.table(spark, sf_dir, "documents"))
+    """Every document that is similar to another one, its group, and to how many."""
+    return jaccard.links(common.table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,22 @@ def test_jaccard_groups_equal_all_pairs(make):
         assert {r["group_id"]: r["doc_ids"] for r in jaccard.grouped(make(list(enumerate(texts))), orders=orders).collect()} == got
 
 
+@pytest.mark.parametrize("orders", [1, 2])
+def test_jaccard_links_equal_all_pairs(make, orders):
+    """Links inside a group count too, copies with each other as well, and an id of several texts once."""
+    rows = list(enumerate(near_copies(5, 100)))
+    rows += [(100 + k, rows[k][1]) for k in range(0, 60, 3)] + [(200, rows[0][1]), (200, rows[7][1]), (201, rows[7][1]), (201, rows[0][1]), (7, rows[7][1]), (8, "x y z u")]
+    texts = defaultdict(list)
+    for i, t in rows:
+        w = WORD.findall(t)
+        texts[i].append({tuple(w[j : j + 3]) for j in range(len(w) - 2)})
+    near = {i: {j for j in texts if j != i and any(len(x & y) >= 0.6 * len(x | y) - 1e-9 for x in texts[i] for y in texts[j])} for i in texts}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.links(make(rows), orders=orders).collect()}
+    assert got == {i: len(x) for i, x in near.items() if x}
+    groups = {r["doc_id"]: r["group_id"] for r in jaccard.groups(make(rows)).collect()}
+    assert {r["doc_id"]: r["group_id"] for r in jaccard.links(make(rows), orders=orders).collect()} == groups
+
+
 def brute_runs(docs, m, chars):
     """(start, lines, source) of the maximal runs of each document that occur earlier, and the texts without them: by comparing every window."""
     seqs = {i: [(n, line.strip()) for n, line in enumerate(t.split("\n")) if line.strip()] for i, t in docs}

@@ -39,6 +39,7 @@ def test_line_dedup(hazards):
 def test_jaccard_groups(hazards):
     got = {r["group_id"]: r["doc_ids"] for r in jaccard.grouped(hazards).collect()}
     assert got == {1: [1, 2, 3], 7: [7, 8], 9: [9, 10]}
+    assert {tuple(r) for r in jaccard.links(hazards).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (7, 7, 1), (8, 7, 1), (9, 9, 1), (10, 9, 1)}
     kept = Counter(r["doc_id"] for r in jaccard.keep_one(hazards).collect())
     assert kept == Counter([1, None, None, 4, 5, 6, 7, 9, 11, -12, 13])
     assert jaccard.keep_one(hazards).columns == hazards.columns
@@ -94,7 +95,7 @@ def test_debruijn(hazards):
 def test_empty_tables(spark, hazards, make):
     none = make([])
     bench, labels = bench_of(spark, []), labels_of(spark, [])
-    assert linededup.dedup(none).count() == jaccard.grouped(none).count() == jaccard.keep_one(none).count() == 0
+    assert linededup.dedup(none).count() == jaccard.grouped(none).count() == jaccard.links(none).count() == jaccard.keep_one(none).count() == 0
     assert templates.leaks(none, bench).count() == templates.clean(none, bench).count() == packing.pack(none).count() == 0
     assert langid.identify(none, langid.train(none)).count() == debruijn.repeated_spans(none).count() == 0
     m = toxicity.train(none, labels)

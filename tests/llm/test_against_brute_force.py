@@ -306,6 +306,34 @@ def test_toxicity_held_out(spark, make):
     assert set(m.thresholds) <= {"en", "de"} and m.thresholds
 
 
+@pytest.mark.parametrize("block", [256, 8192])
+def test_toxicity_fits_on_all_labels(spark, make, block):
+    """A word that only the last toxic documents have (by the hash that once chose a sample of 350) is learnt, and thresholds come from all held-out scores."""
+    import pyarrow as pa
+
+    order = [r[0] for r in spark.range(1500).where("id % 3 = 0").orderBy(F.xxhash64("id")).collect()]
+    late = set(order[400:])
+
+    def text(i, words):
+        w = prose(i, 30).split()
+        for k in words:
+            w.insert(7 * i % len(w), k)
+        return " ".join(w)
+
+    rows = [(i, text(i, [] if i % 3 else ["snarfing" if i in late else "vilegrok"])) for i in range(1500)] + [(2000 + i, text(2000 + i, ["snarfing"] if i < 50 else [])) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(1500)], "doc_id bigint, quality int, toxic int")
+    docs = make(rows)
+    m = toxicity.train(docs, labels, block=block)
+    hit = {r["doc_id"] for r in toxicity.toxic_documents(docs, m).collect()}
+    assert sum(2000 + i in hit for i in range(50)) >= 48 and sum(2000 + i in hit for i in range(50, 100)) <= 2
+    held = [r[0] for r in spark.range(1500).where("pmod(xxhash64(id), 5) = 0").collect()]
+    score = m.score(*toxicity.features(pa.array([rows[i][1] for i in held], pa.large_string())))
+    want = toxicity.best_threshold(score, np.array([int(i % 3 == 0) for i in held]))
+    assert abs(m.common - want) < 1e-5 and m.thresholds == {"en": m.common}
+    again = toxicity.train(docs.repartition(5), labels.repartition(3), block=block)
+    assert np.array_equal(again.table, m.table) and again.common == m.common
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]

@@ -13,11 +13,13 @@ function of the token is a valid order, so collisions cost nothing but sharpness
 orders differ in how they permute tokens of the same frequency class.
 
 Groups of thousands of copies have millions of pairs, which nobody needs: documents with
-equal sets collapse before the join.  ``links`` joins one document of each such class with those of
-all others, verifies every candidate and counts the copies by their number; no link between different
-sets is left out.  ``groups`` needs fewer pairs: documents that share a pair of min-hashes are
-verified first, against one leader per pair.  A posting list then yields only pairs of documents that
-these verified links don't connect yet; a pair left out lies in one group already.
+equal sets collapse before the join, and documents that share a pair of min-hashes are compared
+first, against one leader per pair.  A posting list then yields only pairs of documents that
+these comparisons don't connect yet; a pair left out lies in one group already.
+``groups`` verifies both kinds of pairs against the full sets.  ``links`` only drops pairs whose
+parity bits prove that they are no link (``maybe``); what is left connects documents to clusters, and
+every link lies in one of them.  Each set travels to its cluster once (in a large one: once per block), where all
+pairs are compared with the full sets and copies count by their number; no link is left out.
 There is no cap on partners, candidates or lengths.
 
 Defined cases: null ids take no part; a null or empty text, or one without words, has no
@@ -46,6 +48,10 @@ SLOTS_BITS = 20
 ODD = [0x2545F4914F6CDD1D & MASK | 1, 0x369DEA0F31A53F85 & MASK | 1, 0x1B873593CC9E2D51 & MASK | 1, 0x27D4EB2F165667C5 & MASK | 1]
 SIGNATURES = 4
 PAIRS_AT_ONCE = 1_000_000
+#: Clusters are cut into blocks of about so many bytes of tokens and so many documents; each pair of blocks is compared in one place.
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 1024
+#: Tokens that at most so many sets hold are counted by pairs of sets, others by a product of matrices.
+FEW_SETS = 32
 
 
 def token_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +117,175 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(common.lean(run), "doc_id bigint, size bigint, whole bigint, keys array<bigint>")
 
 
+def set_bytes(keys: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Each text's tokens, six bytes a token."""
+    tokens = keys & U64(MASK)
+    low, high = tokens.astype(np.uint32), (tokens >> U64(32)).astype(np.uint16)
+    ends = np.cumsum(sizes)
+    return [low[e - s : e].tobytes() + high[e - s : e].tobytes() for s, e in zip(sizes, ends)]
+
+
+def set_tokens(x: bytes, at: int = 0) -> np.ndarray:
+    m = (len(x) - at) // 6
+    return np.frombuffer(x, np.uint32, m, at).astype(np.int64) | (np.frombuffer(x, np.uint16, m, at + 4 * m).astype(np.int64) << 32)
+
+
+def parity_bits(keys: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each text's set whether an odd number of tokens hash to each of 2**k bits, twice as many as tokens at least.
+
+    Two sets differ in at least as many tokens as these differ in bits; half of the bits, each the sum of two, are those of a table half as large.
+    """
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    place = (kernel.mix(keys & U64(MASK), 31) & np.repeat(bits - 1, sizes).astype(U64)).astype(np.int64) + np.repeat(ends - bits, sizes)
+    packed = np.packbits((np.bincount(place, minlength=int(ends[-1])) & 1).astype(np.uint8), bitorder="little")
+    return [packed[(e - b) // 8 : e // 8].tobytes() for b, e in zip(bits, ends)]
+
+
+def may_link(p: int, x: bytes, q: int, y: bytes, threshold: float) -> bool:
+    """False only if sets of sizes p and q with these parity bits are less similar than the threshold."""
+    if min(p, q) < threshold * max(p, q) - 1e-6:
+        return False
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, width = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while width > 8 * len(y):
+        width //= 2
+        a = (a ^ (a >> width)) & ((1 << width) - 1)
+    return (p + q - (a ^ b).bit_count()) / 2 >= threshold / (1 + threshold) * (p + q) - 1e-6
+
+
+def maybe(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) but for those that parity bits rule out.  No text or set travels if the ids in pairs fit a broadcast."""
+    pairs = pairs.checkpoint()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint()
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, rows, col in kernel.text_slices(b, "text"):
+                keys, sizes = token_sets(col, n)
+                yield common.batch(doc_id=b.column(0).slice(first, rows), size=sizes.astype(np.int64), bits=pa.array(parity_bits(keys, sizes), pa.binary()))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [i for i, (p, x, q, y) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 6)))) if may_link(p, x, q, y, threshold)]
+            yield common.batch(a=b.column(0).take(pa.array(keep, pa.int64())), b=b.column(1).take(pa.array(keep, pa.int64())))
+
+    schema = "doc_id bigint, size bigint, bits binary"
+    if common.few(ids):
+        some = common.join_ids(docs, F.broadcast(ids), "left_semi").mapInArrow(common.lean(bits), schema)
+    else:
+        some = common.join_ids(docs.mapInArrow(common.lean(bits), schema), ids, "left_semi")
+    left = pairs.join(some.toDF("a", "p", "x"), "a")
+    both = left.join(some.toDF("b", "q", "y"), "b")
+    return both.select("a", "b", "p", "x", "q", "y").mapInArrow(common.lean(check), "a bigint, b bigint").distinct()
+
+
+def similar(sets: list[np.ndarray], split: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the sets that reach the threshold; split: 0, or how many first sets are compared with the others only."""
+    m, sizes = len(sets), np.array([len(x) for x in sets])
+    token, row = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    by = np.argsort(token, kind="stable")
+    token, row = token[by], row[by]
+    start, length = kernel.runs(token)
+    shared = np.zeros(m * m, np.int32)
+    for r in np.unique(length[(length > 1) & (length <= FEW_SETS)]):
+        who = row[start[length == r][:, None] + np.arange(r)]
+        for p in range(r - 1):
+            np.add.at(shared, (who[:, p : p + 1] * m + who[:, p + 1 :]).ravel(), 1)
+    shared = shared.reshape(m, m)
+    many = np.flatnonzero(length > FEW_SETS)
+    for k in range(0, len(many), 1024):
+        own = many[k : k + 1024]
+        has = np.zeros((m, len(own)), np.float32)
+        at = np.repeat(start[own] - np.cumsum(length[own]) + length[own], length[own]) + np.arange(int(length[own].sum()))
+        has[row[at], np.repeat(np.arange(len(own)), length[own])] = 1
+        if split:
+            shared[:split, split:] += (has[:split] @ has[split:].T).astype(np.int32)
+        else:
+            shared += (has @ has.T).astype(np.int32)
+    part = shared[:split, split:] if split else shared
+    ok = (part > 0) & (part >= threshold * (sizes[: split or m, None] + sizes[None, split:] - part) - 1e-9)
+    i, j = np.nonzero(ok if split else np.triu(ok, 1))
+    return i, j + split
+
+
+def least_labels(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """The least place that each of m places is connected to by the pairs (i, j)."""
+    label = np.arange(m)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def compared(docs: DataFrame, placed: DataFrame, n: int, threshold: float, n_buckets: int) -> DataFrame:
+    """(a, b, others) from all pairs of documents of the same cluster: a's links in one pair of blocks, as the weight of its partners, and the least of the documents that links lead to there.
+
+    placed: (node, weight, label, blocks, block), label naming the cluster, blocks how many it has.  A document may have several rows.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, rows, col in kernel.text_slices(b, "text"):
+                keys, sizes = token_sets(col, n)
+                head = np.stack([b.column(k).slice(first, rows).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3, 4, 5)], axis=1)
+                out, held = [], 0
+                for (node, weight, label, blocks, block), tokens in zip(head.tolist(), set_bytes(keys, sizes)):
+                    if not tokens:
+                        continue
+                    for other in range(blocks):
+                        cell = (label, min(block, other), max(block, other))
+                        out.append((hash(cell) % n_buckets, np.array([*cell, block, node, weight], np.int64).tobytes() + tokens))
+                        held += len(tokens)
+                        if held >= BLOCK_BYTES:
+                            yield common.packed_batch(out)
+                            out, held = [], 0
+                if out:
+                    yield common.packed_batch(out)
+
+    def cell_links(cell: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cell.sort(key=lambda c: c[0][3])
+        head = np.stack([c[0] for c in cell])
+        tokens = [c[1] for c in cell]
+        ids, first, of = np.unique(head[:, 4], return_index=True, return_inverse=True)
+        weight = head[first, 5]
+        across = head[0, 1] != head[0, 2]
+        split = int((head[:, 3] == head[0, 1]).sum()) if across else len(cell)
+        found = []
+        # a block's share is by a hash and an id may have any number of texts, so rows are taken in tiles all the same
+        for lo in range(0, split, BLOCK_DOCS):
+            upto = min(lo + BLOCK_DOCS, split)
+            for at in range(split if across else lo, len(cell), BLOCK_DOCS):
+                end = min(at + BLOCK_DOCS, len(cell))
+                rows = np.arange(lo, upto) if at == lo else np.concatenate([np.arange(lo, upto), np.arange(at, end)])
+                i, j = similar([tokens[r] for r in rows], 0 if at == lo else upto - lo, threshold)
+                x, y = of[rows[i]], of[rows[j]]
+                found.append((np.minimum(x, y) * len(ids) + np.maximum(x, y))[x != y])
+        x, y = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), len(ids))
+        others = (np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))).astype(np.int64)
+        label = least_labels(x, y, len(ids))
+        some = np.flatnonzero(others)
+        return common.batch(a=ids[some], b=ids[label[some]], others=others[some])
+
+    def reduce(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple[int, ...], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for p in dict.fromkeys(payloads):
+            head = np.frombuffer(p, np.int64, 6)
+            cells.setdefault(tuple(head[:3].tolist()), []).append((head, p))
+        payloads.clear()
+        while cells:
+            yield cell_links([(head, set_tokens(p, 48)) for head, p in cells.popitem()[1]])
+
+    side = common.sized(placed.checkpoint())
+    rows = docs.join(side, docs["doc_id"] == side["node"]).select("doc_id", "text", "weight", "label", "blocks", "block")
+    return common.exchange(rows.mapInArrow(common.lean(sets), common.PACKED), n_buckets, reduce, "a bigint, b bigint, others bigint")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold.  Texts of only the documents in pairs travel."""
     pairs = pairs.checkpoint()
@@ -120,15 +295,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
         for b in batches:
             for first, rows, col in kernel.text_slices(b, "text"):
                 keys, sizes = token_sets(col, n)
-                tokens = (keys & U64(MASK)).astype(np.int64)
-                low, high = tokens.astype(np.uint32), (tokens >> 32).astype(np.uint16)
-                ends = np.cumsum(sizes)
-                out = [low[e - s : e].tobytes() + high[e - s : e].tobytes() for s, e in zip(sizes, ends)]
-                yield common.batch(doc_id=b.column(0).slice(first, rows), tokens=pa.array(out, pa.binary()))
-
-    def of(x: bytes) -> np.ndarray:
-        m = len(x) // 6
-        return np.frombuffer(x, np.uint32, m).astype(np.int64) | (np.frombuffer(x, np.uint16, m, 4 * m).astype(np.int64) << 32)
+                yield common.batch(doc_id=b.column(0).slice(first, rows), tokens=pa.array(set_bytes(keys, sizes), pa.binary()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.int64))
@@ -141,8 +308,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
                     keep.append(i)
                     continue
                 if last[0] != y:
-                    last = (y, of(y))
-                p, q = of(x), last[1]
+                    last = (y, set_tokens(y))
+                p, q = set_tokens(x), last[1]
                 common_ = int(np.isin(p, q, assume_unique=True, kind="sort").sum()) if len(p) > 8 else len(set(p.tolist()) & set(q.tolist()))
                 if common_ >= threshold * (len(p) + len(q) - common_) - 1e-9:
                     keep.append(i)
@@ -154,17 +321,14 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(common.lean(check), "a bigint, b bigint").distinct()
 
 
-def candidates(spark: SparkSession, docs: DataFrame, labels: DataFrame | None, classes: bytes, n: int, threshold: float, orders: int, n_buckets: int) -> DataFrame:
+def candidates(spark: SparkSession, docs: DataFrame, labels: DataFrame, classes: bytes, n: int, threshold: float, orders: int, n_buckets: int) -> DataFrame:
     """Pairs (a, b) that share enough prefix tokens under each order, fit in size, and have different labels.
 
-    docs: (doc_id, text); labels: (node, label) for ids that have one other than themselves; None: no pair is left out.
+    docs: (doc_id, text); labels: (node, label) for ids that have one other than themselves.
     """
     shared = spark.sparkContext.broadcast(classes)
-    if labels is None:
-        labelled = docs.select("doc_id", F.col("doc_id").alias("label"), "text")
-    else:
-        at = common.sized(labels.checkpoint())
-        labelled = docs.join(at, docs["doc_id"] == at["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
+    at = common.sized(labels.checkpoint())
+    labelled = docs.join(at, docs["doc_id"] == at["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(shared.value, np.uint8)
@@ -293,21 +457,35 @@ def scanned(docs: DataFrame, n: int, threshold: float, orders: int, doc_id: str,
     return common.reduced_scan(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+def led(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents that share a pair of min-hashes, b the leader of all that share it.  signed: rows of ``signatures``."""
+    keyed = signed.select("doc_id", F.posexplode("keys").alias("k", "key"))
+    leader = keyed.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").select("k", "key", "b")
+    return keyed.join(leader, ["k", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+
+
 def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, group_id, n_links) of every document that is linked to another one: to how many others, and the least doc_id that links lead to."""
     spark = common.prepare(docs.sparkSession)
     docs = scanned(docs, n, threshold, orders, doc_id, text)
+    n_buckets = common.byte_buckets(docs)
+    signed = signatures(docs, n).checkpoint()
     # documents of the same sets (an id may have several texts) are a class; one of them, the node, is joined for all
-    own = signatures(docs, n).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("whole", "size"))).alias("sets")).checkpoint()
+    own = signed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("whole", "size"))).alias("sets"), F.sum("size").alias("size")).checkpoint()
     classes = own.groupBy("sets").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"))
-    members = own.join(classes, "sets").select("doc_id", "node", "weight").checkpoint()
-    rest = common.join_ids(docs, common.sized(members.where("doc_id <> node").select("doc_id").checkpoint()), "left_anti")
-    pairs = candidates(spark, rest, None, frequency_classes(docs, n), n, threshold, orders, common.byte_buckets(docs))
-    linked = verified(docs, pairs, n, threshold).checkpoint()
-    both = linked.union(linked.select("b", "a")).toDF("node", "other")
-    weights = members.where("doc_id = node").select(F.col("node").alias("other"), "weight")
-    others = both.join(weights, "other").groupBy("node").agg(F.sum("weight").alias("others"))
-    found = members.join(others, "node", "left").join(components(spark, linked), "node", "left")
+    members = own.join(classes, "sets").select("doc_id", "node", "weight", "size").checkpoint()
+    copies = common.sized(members.where("doc_id <> node").select("doc_id").checkpoint())
+    # what min-hashes connect first: sets that may be similar, compared in the end with all others of their cluster
+    sure = maybe(docs, led(common.join_ids(signed, copies, "left_anti")), n, threshold).checkpoint()
+    rest = common.join_ids(docs, copies, "left_anti")
+    more = maybe(docs, candidates(spark, rest, components(spark, sure), frequency_classes(docs, n), n, threshold, orders, n_buckets), n, threshold)
+    nodes = members.where("doc_id = node").select("node", "weight", "size")
+    clusters = components(spark, sure.union(more)).join(nodes, "node").checkpoint()
+    blocks = F.greatest(F.ceil(6 * F.sum("size") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks")
+    placed = clusters.join(clusters.groupBy("label").agg(blocks), "label").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    linked = compared(docs, placed.select("node", "weight", "label", "blocks", "block"), n, threshold, n_buckets).checkpoint()
+    others = linked.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+    found = members.join(others, "node", "left").join(components(spark, linked.select("a", "b")), "node", "left")
     n_links = F.coalesce("others", F.lit(0)) + F.col("weight") - 1
     return found.select("doc_id", F.coalesce("label", "node").alias("group_id"), n_links.cast("bigint").alias("n_links")).where("n_links > 0")
 
@@ -322,10 +500,7 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, orders: in
     same = signed.groupBy("whole", "size").agg(F.min("doc_id").alias("one"), F.count_distinct("doc_id").alias("k"))
     equal = signed.join(same.where("k > 1"), ["whole", "size"]).where("doc_id <> one").select("doc_id", "one").distinct().checkpoint()
     ones = signed.join(same.select("whole", "size", "one"), ["whole", "size"]).where("doc_id = one")
-    keyed = ones.select("doc_id", F.posexplode("keys").alias("k", "key"))
-    leader = keyed.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").select("k", "key", "b")
-    first = keyed.join(leader, ["k", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    sure = verified(docs, first, n, threshold).checkpoint()
+    sure = verified(docs, led(ones), n, threshold).checkpoint()
     known = equal.select(F.col("doc_id").alias("a"), F.col("one").alias("b")).union(sure)
     labels = components(spark, known)
     # equal copies need no postings of their own: their one has the same set

@@ -74,6 +74,77 @@ def test_jaccard_links_equal_all_pairs(make, orders):
     assert {r["doc_id"]: r["group_id"] for r in jaccard.links(make(rows), orders=orders).collect()} == groups
 
 
+def brute_links(rows):
+    """{doc_id: number of links} and {doc_id: least id that links lead to} of the documents that have links."""
+    texts = defaultdict(list)
+    for i, t in rows:
+        w = WORD.findall(t)
+        texts[i].append({tuple(w[j : j + 3]) for j in range(len(w) - 2)})
+    near = {i: {j for j in texts if j != i and any(len(x & y) >= 0.6 * len(x | y) - 1e-9 for x in texts[i] for y in texts[j])} for i in texts}
+    least = {i: i for i, x in near.items() if x}
+    while (then := {i: min([k, *(least[j] for j in near[i])]) for i, k in least.items()}) != least:
+        least = then
+    return {i: len(x) for i, x in near.items() if x}, least
+
+
+def one_cluster(seed, n, words):
+    """Copies of one text with up to a fifth of the words changed, so that some pairs are links and some aren't."""
+    r = random.Random(seed)
+    base = prose(seed, words).split()
+    return [" ".join(r.choice(WORDS) if r.random() < share else w for w in base) for share in (r.random() / 5 for _ in range(n))]
+
+
+def test_jaccard_links_ship_each_set_of_a_cluster_once(spark, make):
+    """Not once for each of its pairs: 780 pairs of sets of 36 KB, more than a block of compressed shuffle data holds twice."""
+    rows = list(enumerate(one_cluster(6, 40, 6000)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    try:
+        got = {r["doc_id"]: (r["n_links"], r["group_id"]) for r in jaccard.links(make(rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written() - before < 8e6
+    many, least = brute_links(rows)
+    assert 0 < sum(many.values()) < 39 * 40
+    assert got == {i: (many[i], least[i]) for i in many}
+
+
+def test_jaccard_links_over_blocks_equal_all_pairs(make, monkeypatch):
+    """Clusters of many blocks, blocks of more rows than are compared at once, an id of many texts."""
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 7)
+    rows = list(enumerate(one_cluster(7, 90, 80) + near_copies(8, 40)))
+    rows += [(200, t) for _, t in rows[:60:2]] + [(201 + k, rows[k][1]) for k in range(0, 120, 9)]
+    many, least = brute_links(rows)
+    assert {r["doc_id"]: (r["n_links"], r["group_id"]) for r in jaccard.links(make(rows)).collect()} == {i: (many[i], least[i]) for i in many}
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1500)
+    assert {r["doc_id"]: (r["n_links"], r["group_id"]) for r in jaccard.links(make(rows)).collect()} == {i: (many[i], least[i]) for i in many}
+
+
+def test_parity_bits_rule_out_no_link():
+    r = np.random.default_rng(9)
+    ruled_out = 0
+    for _ in range(600):
+        p, q = (int(x) for x in r.integers(1, 400, 2))
+        both = int(r.integers(0, min(p, q) + 1))
+        tokens = r.choice(1 << 40, p + q - both, replace=False).astype(np.uint64)
+        x, y = np.sort(tokens[:p]), np.sort(tokens[p - both :])
+        bits = [jaccard.parity_bits(z, np.array([len(z)]))[0] for z in (x, y)]
+        may = jaccard.may_link(p, bits[0], q, bits[1], 0.6)
+        assert may == jaccard.may_link(q, bits[1], p, bits[0], 0.6)
+        if both >= 0.6 * (p + q - both) - 1e-9:
+            assert may
+        elif both < 0.4 * (p + q - both):
+            ruled_out += not may
+            assert not may or min(p, q) < 40
+    assert ruled_out > 300
+
+
 def brute_runs(docs, m, chars):
     """(start, lines, source) of the maximal runs of each document that occur earlier, and the texts without them: by comparing every window."""
     seqs = {i: [(n, line.strip()) for n, line in enumerate(t.split("\n")) if line.strip()] for i, t in docs}

@@ -143,7 +143,7 @@ def every(spark: SparkSession, n: int, step: int) -> DataFrame:
 def line2_access(spark: SparkSession, d: str) -> DataFrame:
     """Every result of Line-2 by its position."""
     a = access.Access(named.line(S.edges(spark, d), 2))
-    return a.at(every(spark, a.size, 1)).select("position", *line_columns(2)[0]).toDF("position", *line_columns(2)[1])
+    return a.every().select("position", *line_columns(2)[0]).toDF("position", *line_columns(2)[1])
 
 
 add("line2_access", line2_access, f"with {G_SQL}, {line_sql(2)} select row_number() over (order by A, B, C) - 1 as position, A, B, C from j")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ..plans.spec import WEIGHT, JoinSpec, Step
 
 
-def product(columns: list[Column]) -> Column:
-    out = F.lit(1).cast(WEIGHT)
+def product(columns: list[Column], kind: str = WEIGHT) -> Column:
+    out = F.lit(1).cast(kind)
     for c in columns:
-        out = (out * c.cast(WEIGHT)).cast(WEIGHT)
+        out = (out * c.cast(kind)).cast(kind)
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared checkpoint folder, for large tables: it is compressed, and later steps read only the columns they need."""
+    spark = prepare(df.sparkSession)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def plain(df: DataFrame) -> bool:
+    """Whether df only selects from rows that are stored: to compute it again costs no more than to read it."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LocalRelation|LogicalRDD|Range)\b", x) for x in lines)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

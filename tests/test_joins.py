@@ -217,3 +217,45 @@ def test_filters_reach_the_relation(spark, edges):
     want = flat([r for r in brute_line(EDGES, 2) if r[0][0] == 1 and r[1][1] is not None and r[1][1] != 0])
     assert rows_of(spec.results()) == want
     assert [r[0] for r in spark.range(10).where(filters.band("id", 5, 1)).collect()] == [4, 5, 6]
+
+
+def test_many_places_are_sorted_among_rows_over_any_number_of_partitions(spark, monkeypatch):
+    rows = [(1, i) for i in range(40)] + [(i, i + 1) for i in range(60)]
+    e = spark.createDataFrame(rows, "src int, dst int").repartition(3)
+    spec = named.line(e, 3)
+    want = brute_line(rows, 3)
+    few = dict((int(r[0]), tuple(r[1:])) for r in access.Access(spec).at(spark.range(len(want)).toDF("position")).collect())
+    monkeypatch.setattr(access, "LEAST", 1)
+    monkeypatch.setattr(access, "MOST", 7)
+    monkeypatch.setattr(access, "BLOCK", 3)
+    a = access.Access(spec)
+    assert a.size == len(want) and len(a.sorted["g1"].bases) > 2 and a.sorted["g1"].kind == "bigint"
+    assert {int(r[0]): tuple(r[1:]) for r in a.at(spark.range(len(want)).toDF("position")).collect()} == few
+    monkeypatch.setattr(access, "FEW", 5)
+    monkeypatch.setattr(access, "STRETCH", 2)
+    assert {int(r[0]): tuple(r[1:]) for r in a.at(spark.range(len(want)).toDF("position")).collect()} == few
+    assert {r[0]: tuple(r[1:]) for r in a.every().collect()} == few
+    assert sorted(few.values()) == sorted(flat(want))
+
+
+def test_every_result_of_a_tree_and_beyond_64_bits(spark, edges):
+    spec = JoinSpec({n: Relation(edges, ("src", "dst")) for n in "abcd"}, [Edge("a", "b", (("src", "src"),)), Edge("a", "c", (("dst", "src"),)), Edge("c", "d", (("dst", "src"),))])
+    for root in "ac":
+        a = access.Access(spec, root)
+        found = a.every().collect()
+        assert sorted(r[0] for r in found) == list(range(a.size)) and a.size == spec.results().count()
+        assert sorted(map(tuple, found)) == sorted((int(r[0]), *r[1:]) for r in a.at(spark.range(a.size).toDF("position")).collect())
+    assert access.Access(named.line(edges.where("false"), 2)).every().count() == 0
+
+
+def test_sums_of_weights_in_either_kind():
+    from decimal import Decimal
+
+    import pyarrow as pa
+
+    for ahead in (0, 2**63 - 5, 2**64 - 3, 2**70 + 9):
+        for weights in ([3, 1, 4], [2**61, 2**61, 2**61], [2**64, 1, 2**100]):
+            before, after = access._summing()(pa.array([Decimal(0), *map(Decimal, weights)], pa.decimal128(38, 0))[1:], ahead)
+            assert [int(x) for x in before.to_pylist()] == [ahead + sum(weights[:i]) for i in range(3)] and after == ahead + sum(weights)
+    before, after = access._summing()(pa.array([3, 1, 4]), 10)
+    assert before.to_pylist() == [10, 13, 14] and after == 18

@@ -97,8 +97,8 @@ class Sorted:
         return self.rows.join(F.broadcast(parts), F.col("part") == F.col("__part")).withColumn("place", (F.col("before") + F.col("__base")).cast(self.kind)).drop("__part", "__base")
 
 
-def _running(df: DataFrame, order: list[str], n: int, kind: str) -> Sorted:
-    """df (weight as kind) in n partitions by order."""
+def _running(df: DataFrame, order: list[str], n: int, kind: str, ones: bool = False) -> Sorted:
+    """df (weight as kind) in n partitions by order.  ones: all weights are 1, so that a row's number in its partition is the sum ahead of it and no row passes through Python."""
     ordered = df.repartitionByRange(n, *[F.col(f"`{c}`") for c in order]).sortWithinPartitions(*[F.col(f"`{c}`") for c in order]).withColumn("part", F.spark_partition_id())
     sums, length = _summing(), BLOCK
 
@@ -115,7 +115,13 @@ def _running(df: DataFrame, order: list[str], n: int, kind: str) -> Sorted:
             yield pa.RecordBatch.from_arrays([*b.columns, before, pa.array((at // length).astype(np.int32)), pa.array(at % length == 0)], [*b.schema.names, "before", "block", "head"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
-    rows = runtime.stored(ordered.mapInArrow(run, f"{schema}, before {kind}, block int, head boolean"))
+    if ones:
+        number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        counted = ordered.withColumn("before", number)
+        summed = counted.select("*", F.expr(f"cast(before div {length} as int)").alias("block"), (F.col("before") % length == 0).alias("head"))
+    else:
+        summed = ordered.mapInArrow(run, f"{schema}, before {kind}, block int, head boolean")
+    rows = runtime.stored(summed)
     # a row for each partition comes to the driver, and goes back as constants
     totals = sorted((r["part"], int(r["all"])) for r in rows.groupBy("part").agg(F.sum("weight").alias("all")).collect())
     size, bases = 0, []
@@ -224,7 +230,7 @@ class Access:
         kind = "bigint" if most * max(n, 1) < 1 << 62 else WEIGHT  # a row of the table is one row here at most
         df = df.withColumn("weight", counting.product(totals, kind))
         order = list(dict.fromkeys([*s.mine, *self.spec.relations[s.node].rid]))
-        r = self.sorted[s.node] = _running(df, order, partitions(df.sparkSession, n), kind)
+        r = self.sorted[s.node] = _running(df, order, partitions(df.sparkSession, n), kind, most == 1)
         if not s.parent:
             self.size = r.size
         else:

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..plans.spec import Edge, JoinSpec, Relation
+from .access import partitions
 
 
 class KeyViolation(ValueError):
@@ -19,11 +21,32 @@ class KeyViolation(ValueError):
 
 
 def check_key(df: DataFrame, columns: tuple[str, ...], name: str) -> None:
-    repeated = df.where(" and ".join(f"`{c}` is not null" for c in columns)).groupBy(*columns).count().where("count > 1").limit(1).collect()
+    """Fails if columns repeat.  Hashes are compared first, in partitions of a bounded number of rows; values only where a hash repeats."""
+    present = df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*[f"`{c}`" for c in columns])
+    hashed = present.withColumn("__hash", F.xxhash64(*[f"`{c}`" for c in columns]))
+    n = partitions(df.sparkSession, df.count())
+    twice = hashed.select("__hash").repartition(n, "__hash").groupBy("__hash").count().where("count > 1").select("__hash")
+    if twice.isEmpty():
+        return
+    repeated = hashed.join(twice, "__hash").groupBy(*[f"`{c}`" for c in columns]).count().where("count > 1").limit(1).collect()
     if repeated:
         raise KeyViolation(f"{columns} is no key of {name}: {repeated[0].asDict()} repeats")
 
 
+def _once(spec: JoinSpec, names: set[str]) -> JoinSpec:
+    """The spec with tables of names that take more than a read written once: the check of keys and the join both read them."""
+    roles: dict[int, list[str]] = {}
+    for n, r in spec.relations.items():
+        roles.setdefault(id(r.df), []).append(n)
+    relations = dict(spec.relations)
+    for same in roles.values():
+        df = spec.relations[same[0]].df
+        if names & set(same) and not runtime.plain(df):
+            made = runtime.stored(df.select(*[f"`{c}`" for c in dict.fromkeys(c for n in same for c in spec.used(n))]))
+            relations |= {n: Relation(made, spec.relations[n].rid) for n in same}
+    return JoinSpec(relations, spec.edges)
+
+
 def merge(spec: JoinSpec, groups: list[list[str]], verify: bool = True) -> JoinSpec:
     """The spec with each group of connected relations as one, named by its first member; columns become relation__column.
 
@@ -34,6 +57,7 @@ def merge(spec: JoinSpec, groups: list[list[str]], verify: bool = True) -> JoinS
     home |= {n: n for n in spec.relations if n not in home}
     inner = [e for e in spec.edges if home[e.left] == home[e.right]]
     if verify:
+        spec = _once(spec, {n for e in inner if e.key for n in (e.left, e.right)})
         for e in inner:
             if e.key:
                 on = e.on if e.key == "right" else tuple((b, a) for a, b in e.on)

@@ -259,3 +259,27 @@ def test_sums_of_weights_in_either_kind():
             assert [int(x) for x in before.to_pylist()] == [ahead + sum(weights[:i]) for i in range(3)] and after == ahead + sum(weights)
     before, after = access._summing()(pa.array([3, 1, 4]), 10)
     assert before.to_pylist() == [10, 13, 14] and after == 18
+
+
+def test_rows_of_weight_one_are_numbered_without_python(spark, monkeypatch):
+    monkeypatch.setattr(access, "LEAST", 1)
+    monkeypatch.setattr(access, "MOST", 10)
+    df = spark.range(95).select((F.col("id") * 37 % 95).alias("id"), F.lit(1).cast("bigint").alias("weight"))
+    monkeypatch.setattr(access, "BLOCK", 4)
+    plain, ones = (access._running(df, ["id"], access.partitions(spark, 95), "bigint", x) for x in (False, True))
+    assert plain.size == ones.size == 95 and len(ones.bases) > 5
+    assert rows_of(plain.placed().select("id", "place", "before", "block", "head")) == rows_of(ones.placed().select("id", "place", "before", "block", "head"))
+    assert [(r[0], r[1]) for r in ones.placed().select("id", "place").orderBy("id").collect()] == [(i, i) for i in range(95)]
+
+
+def test_key_checks_group_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(access, "MOST", 50)
+    seen = []
+    real = collapse.partitions
+    monkeypatch.setattr(collapse, "partitions", lambda s, n: seen.append((n, real(s, n))) or seen[-1][1])
+    good = spark.range(1000).selectExpr("id as a", "id % 7 as b", "if(id % 2 = 0, null, id) as c")
+    collapse.check_key(good, ("a", "b"), "good")
+    collapse.check_key(good, ("c",), "nulls are no keys")
+    assert seen == [(1000, 20)] * 2
+    with pytest.raises(collapse.KeyViolation, match="repeats"):
+        collapse.check_key(good.union(good.limit(1)), ("a", "b"), "bad")
